@@ -83,13 +83,13 @@ def stub_traces(traces: DataFrame, windows: DataFrame) -> DataFrame:
 _EVENT = [
     *KEY, "received_at", "batch_id", "ordinal", "is_stub", *_LAST_WINS, "tags", "metadata",
     "started_at", "observations_started_min", "observations_started_max", "created_at",
+    "updated_at",
 ]
 
 
 def _events(df: DataFrame) -> DataFrame:
-    if "created_at" not in df.columns:
-        df = df.withColumn("created_at", F.col("received_at"))
-    return df.select(*_EVENT)
+    touched = {"created_at": F.col("received_at"), "updated_at": F.col("received_at")}
+    return df.withColumns(touched).select(*_EVENT)
 
 
 def fold_inputs(traces: DataFrame, observations: DataFrame) -> DataFrame:
@@ -126,6 +126,7 @@ def fold_traces(events: DataFrame) -> DataFrame:
         F.min("observations_started_min").alias("observations_started_min"),
         F.max("observations_started_max").alias("observations_started_max"),
         F.min("created_at").alias("created_at"),
+        F.max("updated_at").alias("updated_at"),
         F.min("is_stub").alias("is_stub"),
         F.max("seq").alias("_last"),
         F.min("seq").alias("_first"),
@@ -135,7 +136,6 @@ def fold_traces(events: DataFrame) -> DataFrame:
     rows = folded.withColumns(
         {
             "tags": F.coalesce("tags", F.array().cast("array<string>")),
-            "updated_at": F.col("_last.received_at"),
             **{c: position[c] for c in ("received_at", "batch_id", "ordinal")},
         }
     ).drop("_first", "_last")
