@@ -320,7 +320,8 @@ def window_repair(fx: Fixtures) -> DataFrame:
 
 # --- Normalisation and gates on raw JSON --------------------------------------
 def _accepted(batches: DataFrame) -> DataFrame:
-    members = normalize.read_members(batches)
+    """Parsed and typed once, then judged and filtered from the staged rows."""
+    members = session.stage(normalize.read_members(batches), "members")
     return normalize.accepted_members(members, normalize.batch_verdicts(members))
 
 
@@ -715,9 +716,9 @@ def _sign_ins(fx: Fixtures) -> DataFrame:
 
 @query("""WITH s AS (SELECT 'g' || o_custkey AS subject, 'c' || o_custkey || '-' || o_orderkey || '@x.org' AS email,
         CASE WHEN o_orderstatus = 'F' THEN 'N' || o_orderkey ELSE '' END AS name,
-        o_orderdate + to_microseconds(o_orderkey) AS at, o_orderpriority AS p FROM orders)
-    SELECT subject, arg_max(email, at) FILTER (WHERE ok) AS email, arg_max(name, at) FILTER (WHERE ok) AS name,
-           arg_min(CASE WHEN name = '' THEN email ELSE name END, at) FILTER (WHERE ok) || '''s project' AS project_name,
+        o_orderdate + to_microseconds(o_orderkey) AS seen, o_orderpriority AS p FROM orders)
+    SELECT subject, arg_max(email, seen) FILTER (WHERE ok) AS email, arg_max(name, seen) FILTER (WHERE ok) AS name,
+           arg_min(CASE WHEN name = '' THEN email ELSE name END, seen) FILTER (WHERE ok) || '''s project' AS project_name,
            count(*) FILTER (p = '5-LOW') AS session_version
     FROM (SELECT *, p NOT IN ('3-MEDIUM', '5-LOW') AS ok FROM s) GROUP BY subject HAVING count(*) FILTER (WHERE ok) > 0""")
 def account_fold(fx: Fixtures) -> DataFrame:
@@ -843,6 +844,7 @@ _DURATION = """CASE WHEN {c} IS NULL THEN '—' WHEN {c} < 1000 THEN format('{{:
     ELSE ({c} // 60000) || 'm ' || CAST(floor(({c} % 60000) / 1000.0 + 0.5) AS bigint) || 's' END"""
 _AS_OF = "TIMESTAMP '1999-01-01 00:00:00'"
 _AGE = f"""CASE WHEN started_at > {_AS_OF} + INTERVAL 500 MILLISECOND THEN 'just now'
+    WHEN started_at = {_AS_OF} THEN '0s ago'
     ELSE floor((epoch({_AS_OF}) - epoch(started_at)) / 86400 + 0.5)::bigint || 'd ago' END"""
 _COST = """CASE WHEN total_cost_usd = 0 THEN '$0'
     WHEN total_cost_usd < 0.000001 THEN '$' || CASE WHEN total_cost_usd >= 0.0000001 THEN CAST(CAST(total_cost_usd * 10000000 AS decimal(10,3)) AS varchar) || 'e-7'

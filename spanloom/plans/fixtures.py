@@ -212,7 +212,7 @@ class Fixtures:
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("start_time"),
             F.col("value").alias("latency_ms"), F.parse_json("props").alias("metadata"),
         )
-        return self.table("events").select(
+        return session.spread(self.table("events")).select(
             F.concat(F.lit("e"), "event_id").alias("batch_id"),
             (F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 MINUTE")).alias("received_at"),
             F.to_json(F.struct(F.array(doc).alias("events"))).alias("body"),
@@ -232,7 +232,7 @@ class Fixtures:
             F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+02:00'").alias("timestamp"),
             F.struct(F.col("o_totalprice").alias("total")).alias("metadata"),
         )
-        return self.table("orders").select(
+        return session.spread(self.table("orders")).select(
             F.concat(F.lit("t"), "o_orderkey").alias("batch_id"),
             F.col("o_orderdate").cast("timestamp").alias("received_at"),
             F.to_json(F.struct(F.array(doc).alias("events"), F.lit("9.9").alias("sdk_version"))).alias("body"),
@@ -257,7 +257,7 @@ class Fixtures:
                 "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
             ).alias("endTime"),
         )
-        return self.table("lineitem").select(
+        return session.spread(self.table("lineitem")).select(
             F.expr("'l' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey").alias("batch_id"),
             # Admitted or not by how long the delivery took.
             (F.col("l_shipdate").cast("timestamp") + F.expr("make_dt_interval(cast(l_partkey % 12 - 3 AS int))")).alias("received_at"),
@@ -304,7 +304,7 @@ class Fixtures:
             ),
             F.lit("]}"),
         )
-        return self.table("labels").select(
+        return session.spread(self.table("labels")).select(
             F.concat(F.lit("s"), "doc_id").alias("batch_id"),
             F.expr("TIMESTAMP'2024-02-01 00:00:00'").alias("received_at"),
             bodies.alias("body"),

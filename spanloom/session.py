@@ -76,6 +76,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy row-wise work all cores when the input has too few splits for them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def within(df: DataFrame, bound: int) -> bool:
     """True when the frame has at most ``bound`` rows; reads no more than that."""
     return df.limit(bound + 1).count() <= bound
