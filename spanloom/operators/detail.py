@@ -79,7 +79,11 @@ def spans_with_scores(observations: DataFrame, scores: DataFrame) -> DataFrame:
     spans = observations.select(
         "project_id", "trace_id", F.col("id").alias("observation_id"), "started_at", "name", "level"
     )
-    return spans.join(badges, ["project_id", "observation_id"], "left")
+    key = ["project_id", "observation_id"]
+    # Scores lead an inner join, because only there can a crowded span be split.
+    scored = badges.join(spans, key)
+    bare = spans.join(badges.select(*key).distinct(), key, "left_anti")
+    return scored.unionByName(bare, allowMissingColumns=True)
 
 
 class Detail(NamedTuple):

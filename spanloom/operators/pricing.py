@@ -96,8 +96,9 @@ def resolve_models(models: DataFrame, prices: DataFrame) -> DataFrame:
 
 def _attach_by_distinct(named: DataFrame, prices: DataFrame) -> DataFrame:
     known = resolve_models(named.filter(F.col("model_norm") != ""), prices)
-    columns = [c for c in named.columns]
-    spread = [F.col(c) for c in columns if c == "id"] or [F.monotonically_increasing_id()]
+    columns = named.columns
+    # Salted by the row's plain values, so a repeated task salts alike.
+    spread = [F.col(c) for c, t in named.dtypes if not t.startswith(("map", "variant", "array", "struct"))]
     joined = session.lookup_join(named, known, ["model_norm"], spread, bound=0)
     return joined.select(*columns, "model_key", *_RATES)
 

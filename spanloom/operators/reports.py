@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom import model
+from spanloom import model, session
 from spanloom.functions import display
 from spanloom.operators import listing
 
@@ -23,8 +23,12 @@ def placement(projects: DataFrame, traces: DataFrame, observations: DataFrame) -
         display.partition_name(F.to_date("started_at")).alias("partition"),
     )
     p = projects.select("project_id", F.col("name").alias("project_name"))
-    joined = t.join(o, ["project_id", "trace_id"], "left")
-    return joined.join(p, "project_id")
+    key = ["project_id", "trace_id"]
+    # Observations lead an inner join, because only there can a crowded trace be split.
+    filled = o.join(t, key)
+    empty = t.join(o.select(*key).distinct(), key, "left_anti")
+    named = filled.unionByName(empty, allowMissingColumns=True)
+    return session.lookup_join(named, p, ["project_id"], [F.col("trace_id")], how="inner")
 
 
 def scores_by_prompt_version(observations: DataFrame, scores: DataFrame) -> DataFrame:

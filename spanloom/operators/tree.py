@@ -78,7 +78,8 @@ def span_paths(observations: DataFrame) -> DataFrame:
     ``kind`` is root, child, missing_parent or cycle; the last two stand at the
     root, flagged. Ordering by ``path`` is depth-first order.
     """
-    spans = _spans(observations)
+    # Narrow and used four times below: deduplicated once.
+    spans = session.stage(_spans(observations), "spans")
     parents = _parents(spans).select(
         *TRACE, F.col("id").alias("parent"), F.col("path").alias("_above"), F.lit(True).alias("_held")
     )
@@ -104,7 +105,9 @@ def span_paths(observations: DataFrame) -> DataFrame:
 
 def span_tree(observations: DataFrame) -> DataFrame:
     """Every span with its position in depth-first order of its trace."""
-    return number_rows(span_paths(observations), TRACE, [F.col("path").asc()], "position").drop("path")
+    # Numbering samples its input before it reads it.
+    paths = session.stage(span_paths(observations), "paths")
+    return number_rows(paths, TRACE, [F.col("path").asc()], "position").drop("path")
 
 
 def span_facts(observations: DataFrame) -> DataFrame:

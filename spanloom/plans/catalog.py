@@ -490,7 +490,7 @@ def count_coercion(fx: Fixtures) -> DataFrame:
 def derived_latency(fx: Fixtures) -> DataFrame:
     line = fx.table("lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "l_partkey", "cast(l_shipdate AS timestamp) AS a",
-        "cast(l_shipdate AS timestamp) + make_dt_interval(0, 0, 0, (l_partkey % 3000) / 1000BD) AS b",
+        "timestamp_millis(unix_millis(cast(l_shipdate AS timestamp)) + l_partkey % 3000) AS b",
     )
     none = F.lit(None).cast("bigint")
     return line.select(

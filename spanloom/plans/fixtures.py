@@ -60,7 +60,7 @@ class Fixtures:
     # -- facts ---------------------------------------------------------------
     def traces(self) -> DataFrame:
         """Stored traces, without an observation window yet."""
-        df = self.table("orders").selectExpr(
+        df = session.spread(self.table("orders")).selectExpr(
             f"{TRACE_ID.format('o_orderkey')} AS id", "'p' || (o_orderkey % 25) AS project_id",
             "o_orderpriority AS name", "'u' || o_custkey AS user_id",
             "'s' || o_custkey || '-' || year(o_orderdate) AS session_id",
@@ -68,8 +68,8 @@ class Fixtures:
             "CASE o_orderstatus WHEN 'O' THEN 'prod' WHEN 'F' THEN 'staging' ELSE 'dev' END AS environment",
             "'r' || year(o_orderdate) AS release",
             "cast(o_orderdate AS timestamp) AS started_at",
-            """CASE WHEN o_orderstatus <> 'O' THEN cast(o_orderdate AS timestamp)
-               + make_dt_interval(0, 0, 0, (o_custkey % 3000) / 1000BD) END AS ended_at""",
+            """CASE WHEN o_orderstatus <> 'O' THEN timestamp_millis(
+               unix_millis(cast(o_orderdate AS timestamp)) + o_custkey % 3000) END AS ended_at""",
             "cast(o_orderdate AS timestamp) + INTERVAL 1 HOUR AS created_at",
             "'1.' || (o_custkey % 4) AS sdk_version",
         )
@@ -85,7 +85,7 @@ class Fixtures:
         return fold.rebuild_windows(bare, observations)
 
     def observations(self, with_model: bool = True) -> DataFrame:
-        line = self.table("lineitem")
+        line = session.spread(self.table("lineitem"))
         brand = "'Brand-0'"
         if with_model:
             part = self.table("part").selectExpr("p_partkey AS l_partkey", "p_brand")
@@ -109,7 +109,7 @@ class Fixtures:
             "'prompt-' || l_returnflag AS prompt_name", "'v' || l_linenumber AS prompt_version",
             "CASE WHEN l_linestatus = 'F' THEN 'Error' ELSE 'ok' END AS level",
             "cast(l_shipdate AS timestamp) AS started_at",
-            "cast(l_shipdate AS timestamp) + make_dt_interval(0, 0, 0, (l_partkey % 3000) / 1000BD) AS ended_at",
+            "timestamp_millis(unix_millis(cast(l_shipdate AS timestamp)) + l_partkey % 3000) AS ended_at",
             "l_partkey AS ordinal",
             "'b' || (l_orderkey % 97) AS batch_id",
             "cast(l_shipdate AS timestamp) + INTERVAL 1 DAY AS received_at",
@@ -160,7 +160,7 @@ class Fixtures:
     # -- deliveries ----------------------------------------------------------
     def trace_deliveries(self) -> DataFrame:
         """Each trace is sent when it opens and when it closes; pending ones close first."""
-        t = self.table("orders").selectExpr(
+        t = session.spread(self.table("orders")).selectExpr(
             "*", "cast(o_orderdate AS timestamp) AS at", f"{TRACE_ID.format('o_orderkey')} AS id",
             "'p' || (o_orderkey % 25) AS project_id",
         )
@@ -180,7 +180,7 @@ class Fixtures:
             "'s' || o_custkey AS session_id", "array(substring(o_orderpriority, 1, 1), o_orderstatus) AS tags",
             f"{none} AS environment", "'r' || year(at) AS release",
             "CASE WHEN o_orderstatus = 'F' THEN at + INTERVAL 2 HOUR ELSE at END AS started_at",
-            "at + make_dt_interval(0, 0, 0, (o_custkey % 3000) / 1000BD) AS ended_at", f"{none} AS sdk_version",
+            "timestamp_millis(unix_millis(at) + o_custkey % 3000) AS ended_at", f"{none} AS sdk_version",
             "map('phase', cast('close' AS variant), 'priority', cast(o_orderpriority AS variant)) AS metadata",
         )
         return opened.unionByName(closed)
@@ -252,8 +252,7 @@ class Fixtures:
             F.when(F.col("l_linestatus") == "F", "error").alias("status"),
             F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss").alias("startTime"),
             F.date_format(
-                F.col("l_shipdate").cast("timestamp")
-                + F.expr("make_dt_interval(0, 0, 0, (l_partkey % 3000) / 1000BD)"),
+                F.expr("timestamp_millis(unix_millis(cast(l_shipdate AS timestamp)) + l_partkey % 3000)"),
                 "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
             ).alias("endTime"),
         )
