@@ -7,14 +7,24 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom import session
 from spanloom.functions import display, measures
 from spanloom.operators import listing
 
 
-def observation_owners(observations: DataFrame) -> DataFrame:
-    """Which traces hold an observation of that id; re-sent starts collapse."""
-    return observations.select(
-        "project_id", F.col("id").alias("observation_id"), F.col("trace_id").alias("owner")
+SPAN = ["project_id", "observation_id"]
+
+
+def _scored(observations: DataFrame, scores: DataFrame) -> DataFrame:
+    """Observations that have a score, as far as scores are few enough to tell in the scan."""
+    aimed = scores.filter(F.col("observation_id").isNotNull())
+    return session.narrowed(observations.withColumnRenamed("id", "observation_id"), aimed, SPAN)
+
+
+def observation_owners(observations: DataFrame, scores: DataFrame) -> DataFrame:
+    """Which traces hold a scored observation id; re-sent starts collapse."""
+    return _scored(observations.select("project_id", "id", "trace_id"), scores).select(
+        *SPAN, F.col("trace_id").alias("owner")
     ).distinct()
 
 
@@ -29,7 +39,7 @@ def scores_of_traces(traces: DataFrame, observations: DataFrame, scores: DataFra
     direct = scores.filter(F.col("trace_id").isNotNull()).withColumn("shown_in", F.col("trace_id"))
     through = (
         scores.filter(F.col("observation_id").isNotNull())
-        .join(observation_owners(observations), ["project_id", "observation_id"])
+        .join(observation_owners(observations, scores), SPAN)
         .filter(~F.col("owner").eqNullSafe(F.col("trace_id")))
         .withColumnRenamed("owner", "shown_in")
     )
@@ -54,13 +64,13 @@ def detail_totals(observations: DataFrame) -> DataFrame:
 
 def score_targets(scores: DataFrame, observations: DataFrame) -> DataFrame:
     """What each score is shown against: observation name, its short id, or the trace."""
-    names = observations.groupBy("project_id", F.col("id").alias("observation_id")).agg(
+    names = _scored(observations, scores).groupBy(*SPAN).agg(
         F.min_by("name", F.struct("started_at", "trace_id")).alias("_name")
     )
     target = F.when(F.col("observation_id").isNull(), "trace").otherwise(
         F.coalesce("_name", display.short_id(F.col("observation_id")))
     )
-    return scores.join(names, ["project_id", "observation_id"], "left").withColumn(
+    return scores.join(names, SPAN, "left").withColumn(
         "target", target
     ).drop("_name")
 
@@ -79,10 +89,11 @@ def spans_with_scores(observations: DataFrame, scores: DataFrame) -> DataFrame:
     spans = observations.select(
         "project_id", "trace_id", F.col("id").alias("observation_id"), "started_at", "name", "level"
     )
-    key = ["project_id", "observation_id"]
+    ids = badges.select(*SPAN).distinct()
+    few = session.within(ids, session.BROADCAST_ROW_BOUND)
     # Scores lead an inner join, because only there can a crowded span be split.
-    scored = badges.join(spans, key)
-    bare = spans.join(badges.select(*key).distinct(), key, "left_anti")
+    scored = badges.join(session.narrowed(spans, ids, SPAN), SPAN)
+    bare = spans.join(F.broadcast(ids) if few else ids, SPAN, "left_anti")
     return scored.unionByName(bare, allowMissingColumns=True)
 
 

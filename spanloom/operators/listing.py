@@ -9,7 +9,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom import model
+from spanloom import model, session
 from spanloom.functions import cursors, measures
 from spanloom.operators.ranking import number_rows
 
@@ -115,6 +115,19 @@ def list_all(traces: DataFrame, observations: DataFrame) -> DataFrame:
     return with_rollup(traces, rollup(observations))
 
 
+def list_filtered(
+    traces: DataFrame, observations: DataFrame, filters: Mapping[str, Any]
+) -> DataFrame:
+    """The list with rollups for the traces a filter keeps.
+
+    When they are few, only their observations leave the scan.
+    """
+    found = filter_traces(traces, filters)
+    ids = found.select("project_id", F.col("id").alias("trace_id"))
+    own = session.narrowed(observations, ids, ["project_id", "trace_id"])
+    return with_rollup(found, rollup(own))
+
+
 def page_window(traces: DataFrame) -> DataFrame:
     """Earliest and latest observation start over a set of traces."""
     return traces.agg(

@@ -33,12 +33,14 @@ def placement(projects: DataFrame, traces: DataFrame, observations: DataFrame) -
 
 def scores_by_prompt_version(observations: DataFrame, scores: DataFrame) -> DataFrame:
     """Mean score per prompt version; booleans count as one or zero."""
-    prompts = observations.filter(F.col("prompt_name").isNotNull()).select(
+    span = ["project_id", "observation_id"]
+    measured = scores.filter(F.col("value").isNotNull() & F.col("observation_id").isNotNull())
+    named = observations.filter(F.col("prompt_name").isNotNull()).select(
         "project_id", F.col("id").alias("observation_id"), "prompt_name", "prompt_version"
-    ).distinct()
-    measured = scores.filter(F.col("value").isNotNull())
+    )
+    prompts = session.narrowed(named, measured, span).distinct()
     return (
-        measured.join(prompts, ["project_id", "observation_id"])
+        measured.join(prompts, span)
         .groupBy("project_id", "prompt_name", "prompt_version", F.col("name").alias("score_name"))
         .agg(F.count("*").alias("scores"), F.avg(F.col("value").cast("double")).alias("mean_value"))
     )

@@ -104,8 +104,7 @@ def trace_filter_env_tag_range(fx: Fixtures) -> DataFrame:
     filters = listing.read_filters(
         {"environment": ["dev", "prod"], "tag": ["1", "", "O"], "from": "1996-01-01", "to": "1998-01-01T00:00:00Z", "odd": "x"}
     )
-    found = listing.filter_traces(fx.traces(), filters)
-    return listing.list_all(found, fx.priced()).select(*_list_columns())
+    return listing.list_filtered(fx.traces(), fx.priced(), filters).select(*_list_columns())
 
 
 _SEEK_AT, _SEEK_ID = "1997-06-15", "00000000-0000-4000-8000-000000000500"

@@ -87,6 +87,18 @@ def within(df: DataFrame, bound: int) -> bool:
     return df.limit(bound + 1).count() <= bound
 
 
+def narrowed(facts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts reduced to wanted keys in the scan, when those keys are few.
+
+    Many keys would need a shuffle of the facts just to drop some of them, so
+    then the facts stay as they are and the join that follows does the work.
+    """
+    ids = wanted.select(*keys).distinct()
+    if within(ids, BROADCAST_ROW_BOUND):
+        return facts.join(F.broadcast(ids), keys, "left_semi")
+    return facts
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,
