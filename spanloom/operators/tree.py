@@ -34,7 +34,7 @@ def _spans(observations: DataFrame) -> DataFrame:
         )
     ).select(
         *TRACE, "id", F.col("parent_observation_id").alias("parent"),
-        F.struct(F.unix_millis("started_at").alias("ms"), F.col("id").alias("id")).alias("step"),
+        F.unix_millis("started_at").alias("ms"),
     )
 
 
@@ -79,7 +79,8 @@ def span_paths(observations: DataFrame) -> DataFrame:
     root, flagged. Ordering by ``path`` is depth-first order.
     """
     # Narrow and used four times below: deduplicated once.
-    spans = session.stage(_spans(observations), "spans")
+    staged = session.stage(_spans(observations), "spans")
+    spans = staged.select(*TRACE, "id", "parent", F.struct("ms", "id").alias("step"))
     parents = _parents(spans).select(
         *TRACE, F.col("id").alias("parent"), F.col("path").alias("_above"), F.lit(True).alias("_held")
     )
