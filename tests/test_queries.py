@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from spanloom.plans import catalog
 from tests.check_queries import compare, open_tables
 
 SF = "/root/testdata/sf0.001"
@@ -13,10 +13,10 @@ def con():
     return open_tables(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, name, SF) is None
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
