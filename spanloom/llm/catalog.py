@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact, lines, simhash
+from spanloom.llm import exact, lines, secrets, simhash
 from spanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,18 @@ WITH t AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = [n for n, r in enumerate(secrets.RULES) if r.base]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [
+        (F.size("spans") - F.size(F.array_remove(kinds, n))).cast("bigint").alias(f"n_{secrets.RULES[n].kind}") for n in base
+    ]
+    return found.select(
+        "doc_id", *counts,
+        F.sha2(secrets.written(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )
