@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact, lines, mixing, packing, quality, secrets, simhash
+from spanloom.llm import exact, language, lines, mixing, packing, quality, secrets, simhash
 from spanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", language.held_out(F.col("doc_id")).alias("held_out")
+    )
+    net = language.fit(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
+    return language.identify(docs.select("doc_id", "text", "held_out"), net).drop("text")
