@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact, language, lines, mixing, packing, quality, secrets, simhash
+from spanloom.llm import exact, html, language, lines, mixing, packing, quality, secrets, simhash
 from spanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     net = language.fit(docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
     return language.identify(docs.select("doc_id", "text", "held_out"), net).drop("text")
+
+
+@query
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
