@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact, html, language, lines, mixing, packing, quality, secrets, simhash
+from spanloom.llm import exact, html, language, lines, mixing, packing, quality, secrets, simhash, spans
 from spanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_sentences", "n_removed", "n_words", "n_words_removed", "removed", F.col("kept_text").alias("text"))
