@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom import session
 
@@ -52,3 +53,11 @@ def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column; null reads as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
+
+
+def extended(schema: T.StructType, added: dict[str, str]) -> T.StructType:
+    """A new schema with further columns, given by name and type."""
+    more = T.StructType()
+    for name, kind in added.items():
+        more.add(name, kind)
+    return T.StructType([*schema.fields, *more.fields])

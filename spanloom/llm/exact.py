@@ -14,7 +14,8 @@ Built-in functions only; no text passes through Python.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +23,25 @@ from pyspark.sql import functions as F
 from spanloom import session
 from spanloom.llm.common import SPACE, pin
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# State on disk. Stores are many and may be small, so none reserves space ahead,
+# and a commit writes what changed.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _store_settings(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def normalised(text: Column) -> Column:
@@ -52,11 +70,9 @@ def _best() -> Column:
 def remember(spark: SparkSession, path: str, state: str, digest: Callable[[Column], Column] = sha256) -> None:
     """Feed the files under ``path`` that ``state`` has not seen into its keyed state."""
     schema = spark.read.parquet(path).select("doc_id", "text").schema
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKS)
-    try:
-        # As a pattern, so that the table may be one file or a folder of files.
-        path = path.rstrip("/")
+    # As a pattern, so that the table may be one file or a folder of files.
+    path = path.rstrip("/")
+    with _store_settings(spark):
         arriving = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
         groups = _keyed(arriving, digest).groupBy("digest").agg(F.count("*").alias("group_size"), _best().alias("best"))
         query = (
@@ -64,8 +80,6 @@ def remember(spark: SparkSession, path: str, state: str, digest: Callable[[Colum
             .option("checkpointLocation", state).trigger(availableNow=True).start()
         )
         query.awaitTermination()
-    finally:
-        spark.conf.set(_STORE, before)
 
 
 def remembered(spark: SparkSession, state: str) -> DataFrame:
@@ -111,7 +125,8 @@ def exact_duplicates(
     state = state or session.scratch_path(spark, "exact-state")
     remember(spark, path, state, digest)
     rows = _keyed(spark.read.parquet(path), digest)
-    groups = pin(remembered(spark, state).filter(F.col("group_size") > 1))
+    with _store_settings(spark):
+        groups = pin(remembered(spark, state).filter(F.col("group_size") > 1))
     few = session.within(groups, session.BROADCAST_ROW_BOUND)
     keepers = session.stage(_keepers(rows, F.broadcast(groups) if few else groups), "exact-keepers")
     own = {"keep_id": F.coalesce("keep_id", "doc_id"), "keep_points": F.coalesce("keep_points", "points"),

@@ -25,7 +25,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import slices, texts
+from spanloom.llm.common import extended, slices, texts
 
 # Characters from which a block is long enough to be judged, and to be content.
 SHORT, LONG = 70, 200
@@ -310,4 +310,4 @@ def extract(pages: DataFrame) -> DataFrame:
             out = pa.array([main_text(page) for page in texts(batch, "html")], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in shown), out], [*shown, "main_text"])
 
-    return pages.mapInArrow(run, pages.schema.add("main_text", "string"))
+    return pages.mapInArrow(run, extended(pages.schema, {"main_text": "string"}))

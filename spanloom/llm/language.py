@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices, small_or_not, texts
+from spanloom.llm.common import extended, slices, small_or_not, texts
 
 HIDDEN = 8
 WINDOW = 128  # bytes read at once when labelling
@@ -262,7 +262,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                 [*(batch.column(c) for c in shown), pa.array(label), pa.array(score)], [*shown, "lang_pred", "score"]
             )
 
-    return docs.mapInArrow(run, docs.schema.add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(run, extended(docs.schema, {"lang_pred": "string", "score": "double"}))
 
 
 def held_out(doc_id: Column) -> Column:

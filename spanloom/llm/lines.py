@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spanloom import session
-from spanloom.llm.common import SPACE, raw, slices
+from spanloom.llm.common import SPACE, extended, raw, slices
 
 MIN_CHARS = 10  # code points of a key below which a line always stays
 SHARD_KEYS = 100_000  # keys a shard is meant to index
@@ -273,5 +273,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 [*shown, "n_lines", "n_dropped", "kept_text"],
             )
 
-    schema = tagged.drop("_drops").schema.add("n_lines", "long").add("n_dropped", "long").add("kept_text", "string")
-    return tagged.mapInArrow(rebuild, schema)
+    added = {"n_lines": "long", "n_dropped": "long", "kept_text": "string"}
+    return tagged.mapInArrow(rebuild, extended(tagged.drop("_drops").schema, added))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanloom.llm.common import SPACE, slices, texts
+from spanloom.llm.common import SPACE, extended, slices, texts
 
 WINDOW = 8  # words of a repeated window
 MIN_WORDS = 20
@@ -176,7 +176,4 @@ def judge(docs: DataFrame, vocabulary: str | None = None, bands: dict = BANDS) -
             added = [pa.array(c) for c in zip(*rows)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in shown), *added], [*shown, *ADDED])
 
-    schema = docs.schema
-    for name, kind in ADDED.items():
-        schema = schema.add(name, kind)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(docs.schema, ADDED))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom import session
-from spanloom.llm.common import slices, small_or_not, texts
+from spanloom.llm.common import extended, slices, small_or_not, texts
 
 LONGEST = 16
 LEAST_SENTENCES = 3
@@ -178,10 +178,7 @@ def dedup_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_w
             added = [pa.array(c, pa.int64() if kind == "long" else pa.string()) for c, kind in zip(zip(*out), ADDED.values())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in shown), *added], [*shown, *ADDED])
 
-    schema = docs.schema
-    for name, kind in ADDED.items():
-        schema = schema.add(name, kind)
-    return tagged.mapInArrow(rebuild, schema)
+    return tagged.mapInArrow(rebuild, extended(docs.schema, ADDED))
 
 
 def _without(text: str, cut: list[list[int]]) -> tuple[int, int, int, int, str, str]:
