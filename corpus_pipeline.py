@@ -30,8 +30,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints connect, the one with the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of documents whose fingerprints connect, the one with the smallest doc_id stays.
+
+    Shingles and distance are those of the registered query of this operator.
+    """
+    return simhash.drop_near_duplicates(docs, width=3, max_distance=3)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
