@@ -237,7 +237,7 @@ GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
 
 def first_pass(block: Block, bounded: bool) -> str:
     """A block judged by itself: good or bad, near good, or open."""
-    if block.inside < 0 or block.linked > MOST_LINKED * len(block.text):
+    if block.linked > MOST_LINKED * len(block.text):
         return BAD
     if len(block.text) < SHORT:
         return OPEN
@@ -285,7 +285,8 @@ def second_pass(labels: list[str], bounded: bool) -> list[bool]:
 
 def main_text(page: str) -> str:
     """The main text of a page: its content blocks in order, joined by one space; empty if there are none."""
-    found = list(blocks(page))
+    # What markup excludes is decided and tells nothing about the text beside it.
+    found = [b for b in blocks(page) if b.inside >= 0]
     within = {b.inside for b in found}
     bound = 1 if 1 in within else 2 if 2 in within else 0
     if bound == 2:

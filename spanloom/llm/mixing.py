@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,22 +37,19 @@ def sainte_lague(weights: np.ndarray, seats: int) -> np.ndarray:
     weights = np.asarray(weights, float)
     if seats <= 0 or weights.sum() <= 0:
         return np.zeros(len(weights), np.int64)
-    # The divisor that gives too few seats at ``low`` and too many at ``high``, inverted.
+    # The seats of a divisor that gives slightly too few, then the rest one by one.
     scaled = weights / weights.sum()
     low, high = 0.0, 2.0 * (seats + len(weights) + 1)
-    for _ in range(200):
+    while high - low > 1e-12 * high:
         mid = (low + high) / 2
-        if mid in (low, high):
-            break
-        if np.floor(scaled * mid + 0.5).sum() <= seats:
-            low = mid
-        else:
-            high = mid
-    out = np.floor(scaled * low + 0.5).astype(np.int64)
-    left = seats - int(out.sum())
-    if left:  # parties whose next quotients tie
-        quotient = scaled / (2 * out + 1)
-        out[np.argsort(-quotient, kind="stable")[:left]] += 1
+        low, high = (mid, high) if np.floor(scaled * mid + 0.5).sum() <= seats else (low, mid)
+    out = np.floor(scaled * low * (1 - 1e-9) + 0.5).astype(np.int64)
+    next_up = [(-w / (2 * s + 1), i) for i, (w, s) in enumerate(zip(weights.tolist(), out.tolist())) if w > 0]
+    heapq.heapify(next_up)
+    for _ in range(seats - int(out.sum())):
+        i = next_up[0][1]
+        out[i] += 1
+        heapq.heapreplace(next_up, (-weights[i] / (2 * out[i] + 1), i))
     return out
 
 
