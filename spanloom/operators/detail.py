@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from spanloom import session
 from spanloom.functions import display, measures
-from spanloom.operators import listing
+from spanloom.operators import listing, tenancy
 
 
 SPAN = ["project_id", "observation_id"]
 
 
 def _scored(observations: DataFrame, scores: DataFrame) -> DataFrame:
-    """Observations that have a score, as far as scores are few enough to tell in the scan."""
-    aimed = scores.filter(F.col("observation_id").isNotNull())
-    return session.narrowed(observations.withColumnRenamed("id", "observation_id"), aimed, SPAN)
+    """Observations that have a score; told in the scan when scored ids are few."""
+    ids = scores.filter(F.col("observation_id").isNotNull()).select(*SPAN).distinct()
+    if session.within(ids, session.BROADCAST_ROW_BOUND):
+        ids = F.broadcast(ids)
+    return observations.withColumnRenamed("id", "observation_id").join(ids, SPAN, "left_semi")
 
 
 def observation_owners(observations: DataFrame, scores: DataFrame) -> DataFrame:
@@ -104,10 +106,14 @@ class Detail(NamedTuple):
 
 
 def trace_detail(
-    traces: DataFrame, observations: DataFrame, scores: DataFrame, trace_id: str
+    traces: DataFrame, observations: DataFrame, scores: DataFrame, project_id: str | None, trace_id: str
 ) -> Detail | None:
-    """One trace with its observations and scores in order; None when not found."""
+    """One trace of a tenant with its observations and scores in order; None when not found.
+
+    Scores are looked up by the trace and its own span ids, not the other way round.
+    """
     spark = traces.sparkSession
+    traces, observations, scores = (tenancy.tenant_view(df, project_id) for df in (traces, observations, scores))
     found = traces.filter(F.col("id") == trace_id).select(*listing.LIST_COLUMNS).withColumn(
         "metadata", F.to_json("metadata")
     )
@@ -115,18 +121,22 @@ def trace_detail(
     if not rows:
         return None
     row = rows[0]
-    own = observations.filter(
-        (F.col("trace_id") == trace_id) & (F.col("project_id") == row.project_id)
-    )
+    own = observations.filter(F.col("trace_id") == trace_id)
     if row.observations_started_min and row.observations_started_max:
         own = listing.bounded_scan(own, row.observations_started_min, row.observations_started_max)
     else:
         own = own.limit(0)
     trace = spark.createDataFrame(rows, found.schema)
-    theirs = scores.filter(F.col("project_id") == row.project_id)
-    shown = scores_of_traces(trace, own, theirs).filter(F.col("shown_in") == trace_id)
+    spans = own.select(F.col("id").alias("_span")).distinct()
+    if session.within(spans, session.BROADCAST_ROW_BOUND):
+        spans = F.broadcast(spans)
+    direct = scores.filter(F.col("trace_id") == trace_id)
+    through = scores.filter(~F.col("trace_id").eqNullSafe(trace_id)).join(
+        spans, F.col("observation_id") == F.col("_span"), "left_semi"
+    )
+    shown = direct.unionByName(through)
     return Detail(
         listing.with_rollup(trace, listing.rollup(own)),
         own.orderBy("started_at", "id"),
-        shown.drop("shown_in").orderBy("scored_at", "id"),
+        shown.orderBy("scored_at", "id"),
     )

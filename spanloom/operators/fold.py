@@ -1,9 +1,10 @@
 """Merging of repeated and out-of-order deliveries.
 
 All columns of the fold are maxima or minima over the arrival order
-``seq = (received_at, batch_id, ordinal)``. Partial and final aggregation,
-compaction of old state and replays therefore agree, and a hot trace shrinks
-to one row per map task before the shuffle.
+``seq = (received_at, batch_id, ordinal)``. State keeps beside each value the
+arrival that set it, so folding may be cut in any way: partial and final
+aggregation, compaction of old state, replays and epochs that overlap in time
+agree, and a hot trace shrinks to one row per map task before the shuffle.
 """
 
 from __future__ import annotations
@@ -80,15 +81,24 @@ def stub_traces(traces: DataFrame, windows: DataFrame) -> DataFrame:
     return windows.join(sent, ["project_id", "batch_id", "trace_id"], "left_anti")
 
 
+_SEQ = "struct<received_at:timestamp,batch_id:string,ordinal:bigint>"
+# Arrivals that state keeps: per column, of the start, and of the first and last event.
+_SET_AT = [*_LAST_WINS, "tags", "real_start", "stub_start", "first", "last"]
+_SET_AT_TYPE = f"struct<{','.join(f'{c}:{_SEQ}' for c in _SET_AT)}>"
+_KEYS_SET_AT_TYPE = f"map<string,{_SEQ}>"
+
 _EVENT = [
     *KEY, "received_at", "batch_id", "ordinal", "is_stub", *_LAST_WINS, "tags", "metadata",
     "started_at", "observations_started_min", "observations_started_max", "created_at",
-    "updated_at",
+    "updated_at", "set_at", "keys_set_at",
 ]
 
 
 def _events(df: DataFrame) -> DataFrame:
-    touched = {"created_at": F.col("received_at"), "updated_at": F.col("received_at")}
+    touched = {
+        "created_at": F.col("received_at"), "updated_at": F.col("received_at"),
+        "set_at": F.lit(None).cast(_SET_AT_TYPE), "keys_set_at": F.lit(None).cast(_KEYS_SET_AT_TYPE),
+    }
     return df.withColumns(touched).select(*_EVENT)
 
 
@@ -106,39 +116,47 @@ def state_events(state: DataFrame) -> DataFrame:
 def fold_traces(events: DataFrame) -> DataFrame:
     """One row per trace from trace events, windows and earlier state.
 
-    The result keeps the arrival position of its last change, so it can be
-    folded again with later events.
+    ``set_at`` and ``keys_set_at`` hold the arrivals that set the columns and the
+    metadata keys; with them the result can be folded again with any other events.
     """
-    seq = arrival()
-    e = events.withColumn("seq", seq)
-
-    def last(c: str, keep: Column) -> Column:
-        """Value of the latest row where ``keep`` holds."""
-        return F.max_by(F.col(c), F.when(keep, F.col("seq")))
-
-    real = ~F.col("is_stub")
+    e = events.withColumn("seq", arrival())
+
+    def at(c: str, keep: Column) -> Column:
+        """Arrival of a value: its own for an event, the kept one for state."""
+        return F.when(keep, F.coalesce(F.col(f"set_at.{c}"), F.col("seq")))
+
+    stub = F.col("is_stub")
+    kept = {
+        **{c: at(c, F.col(c).isNotNull()) for c in _LAST_WINS},
+        "tags": at("tags", F.size("tags") > 0),
+        "real_start": at("real_start", ~stub),
+        "stub_start": at("stub_start", stub),
+        "first": F.coalesce(F.col("set_at.first"), F.col("seq")),
+        "last": F.coalesce(F.col("set_at.last"), F.col("seq")),
+    }
+    lowest = {"stub_start", "first"}
     folded = e.groupBy(*KEY).agg(
-        *[last(c, F.col(c).isNotNull()).alias(c) for c in _LAST_WINS],
-        last("tags", F.size("tags") > 0).alias("tags"),
+        *[F.max_by(F.col(c), kept[c]).alias(c) for c in (*_LAST_WINS, "tags")],
         F.coalesce(
-            last("started_at", real), F.min_by("started_at", F.col("seq"))
+            F.max_by("started_at", kept["real_start"]), F.min_by("started_at", kept["stub_start"])
         ).alias("started_at"),
         F.min("observations_started_min").alias("observations_started_min"),
         F.max("observations_started_max").alias("observations_started_max"),
         F.min("created_at").alias("created_at"),
         F.max("updated_at").alias("updated_at"),
         F.min("is_stub").alias("is_stub"),
-        F.max("seq").alias("_last"),
-        F.min("seq").alias("_first"),
+        F.struct(*[(F.min if c in lowest else F.max)(kept[c]).alias(c) for c in _SET_AT]).cast(_SET_AT_TYPE).alias("set_at"),
     )
     # A stub stays at its first position: its start is the earliest batch's.
-    position = F.when(F.col("is_stub"), F.col("_first")).otherwise(F.col("_last"))
+    position = F.when(F.col("is_stub"), F.col("set_at.first")).otherwise(F.col("set_at.last"))
     rows = folded.withColumns(
         {
             "tags": F.coalesce("tags", F.array().cast("array<string>")),
+            # Once there is a real start, no stub's matters any more.
+            "set_at": F.col("set_at").withField("stub_start", F.when(F.col("is_stub"), F.col("set_at.stub_start"))),
             **{c: position[c] for c in ("received_at", "batch_id", "ordinal")},
         }
-    ).drop("_first", "_last")
+    )
     return rows.join(merge_metadata(e), KEY, "left").withColumn(
         "metadata", F.coalesce("metadata", F.from_json(F.lit("{}"), model.DOC))
     )
@@ -146,10 +164,12 @@ def fold_traces(events: DataFrame) -> DataFrame:
 
 def merge_metadata(events: DataFrame) -> DataFrame:
     """Top-level keys merged, the later value wins, an explicit null too."""
-    entries = events.select(*KEY, "seq", F.explode("metadata").alias("key", "value"))
-    latest = entries.groupBy(*KEY, "key").agg(F.max_by("value", "seq").alias("value"))
+    entries = events.select(*KEY, "seq", "keys_set_at", F.explode("metadata").alias("key", "value"))
+    at = F.coalesce(F.element_at("keys_set_at", F.col("key")), F.col("seq"))
+    latest = entries.groupBy(*KEY, "key").agg(F.max_by("value", at).alias("value"), F.max(at).alias("at"))
     return latest.groupBy(*KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata")
+        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata"),
+        F.map_from_entries(F.collect_list(F.struct("key", "at"))).cast(_KEYS_SET_AT_TYPE).alias("keys_set_at"),
     )
 
 

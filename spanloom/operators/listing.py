@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom import model, session
 from spanloom.functions import cursors, measures
+from spanloom.operators import tenancy
 from spanloom.operators.ranking import number_rows
 
 _EXACT = ["name", "user_id", "session_id", "environment", "release"]
@@ -45,8 +46,12 @@ def split_tags(text: str) -> list[str]:
     return list(dict.fromkeys(t for t in (raw.strip() for raw in text.split(",")) if t))
 
 
-def page_size(limit: int | None) -> int:
-    return model.DEFAULT_PAGE if limit is None else max(1, min(model.MAX_PAGE, int(limit)))
+def page_size(limit: int | None, most: int | None = model.MAX_PAGE) -> int:
+    """A page's rows; a limit outside 1 to ``most`` is refused, not cut."""
+    size = model.DEFAULT_PAGE if limit is None else int(limit)
+    if size < 1 or most is not None and size > most:
+        raise ValueError(f"limit must be from 1 to {most}" if most else "limit must be at least 1")
+    return size
 
 
 def _bound(value: datetime | str) -> Column:
@@ -128,14 +133,6 @@ def list_filtered(
     return with_rollup(found, rollup(own))
 
 
-def page_window(traces: DataFrame) -> DataFrame:
-    """Earliest and latest observation start over a set of traces."""
-    return traces.agg(
-        F.min("observations_started_min").alias("observations_started_min"),
-        F.max("observations_started_max").alias("observations_started_max"),
-    )
-
-
 def bounded_scan(observations: DataFrame, lo: datetime, hi: datetime) -> DataFrame:
     """Observations that start inside a closed window, pruned to its days."""
     out = observations
@@ -170,11 +167,25 @@ class Page(NamedTuple):
 def list_page(
     traces: DataFrame,
     observations: DataFrame,
+    project_id: str | None,
     filters: Mapping[str, Any] | None = None,
     limit: int | None = None,
     cursor: str | None = None,
 ) -> Page:
-    """One page, newest first, with rollups.
+    """One page of one tenant, newest first, with rollups; without a tenant it is empty."""
+    return newest_page(
+        tenancy.tenant_view(traces, project_id), tenancy.tenant_view(observations, project_id), filters, limit, cursor
+    )
+
+
+def newest_page(
+    traces: DataFrame,
+    observations: DataFrame,
+    filters: Mapping[str, Any] | None = None,
+    limit: int | None = None,
+    cursor: str | None = None,
+) -> Page:
+    """One page of all rows given, for callers that may see them all.
 
     The page (at most ``MAX_PAGE`` rows) is fetched first; its stored window
     prunes the observation scan and its ids are small enough to broadcast.
@@ -207,7 +218,7 @@ def list_page(
 
 def all_pages(traces: DataFrame, limit: int | None = None) -> DataFrame:
     """Every page of every tenant: position and page number of each trace."""
-    n = page_size(limit)
+    n = page_size(limit, most=None)
     narrow = traces.select("project_id", "id", "started_at")
     numbered = number_rows(narrow, ["project_id"], newest_first(), "position")
     return numbered.withColumn("page", F.floor((F.col("position") - 1) / F.lit(n)).cast("bigint") + 1)

@@ -40,6 +40,7 @@ _STARTS = {
 _WIRE_KEYS = sorted(
     {k for f in _PLAIN for k in model.ALIASES.get(f, [f])} | {k for s in _STARTS.values() for k in s}
 )
+_SLOTS = 64
 _UNTYPED = {"input", "output", "metadata", "observations"}
 
 
@@ -180,13 +181,43 @@ def explode_members(
         .when(~values.is_null(k) & ~values.is_text(k), "sdk_version: not text")
         .when(F.length(version) > model.WIDTHS["sdk_version"], "sdk_version: too long"),
     )
-    fits = judged.withColumn("heads", F.when(F.col("refusal").isNull(), heads)).withColumn(
-        "heads", timed
+    ok = F.col("refusal").isNull()
+    fits = judged.withColumn("heads", F.when(ok, heads)).withColumn("heads", timed)
+
+    def slot(trace_id: Column) -> Column:
+        return F.pmod(F.xxhash64(trace_id), F.lit(_SLOTS)).cast("int")
+
+    unstarted = F.transform(
+        "observation_docs",
+        lambda o: F.struct(
+            o.alias("doc"),
+            F.when(
+                F.coalesce(*[values.member(o, k) for k in _STARTS[OBSERVATION]]).isNull(), _id(o, "trace_id")
+            ).alias("trace"),
+        ),
+    )
+    fits = fits.withColumn("siblings", F.when(ok, unstarted)).withColumns(
+        {
+            "siblings": F.transform("siblings", lambda o: F.struct(o["doc"], o["trace"], slot(o["trace"]).alias("slot"))),
+            "starts": F.transform(
+                "heads", lambda h: F.struct(h["id"].alias("id"), h["start"].alias("start"), slot(h["id"]).alias("slot"))
+            ),
+        }
+    )
+
+    # Starts by trace id, dealt to slots by the id's hash; only flat observations
+    # without an own start look theirs up, each in one slot.
+    slots = F.when(
+        F.exists("siblings", lambda o: o["trace"].isNotNull()),
+        F.transform(
+            F.sequence(F.lit(0), F.lit(_SLOTS - 1)),
+            lambda n: F.filter("starts", lambda h: h["slot"] == n),
+        ),
     )
 
     def sibling_start(o: Column) -> Column:
         """Start of the batch's trace of that id; the last one if it repeats."""
-        mine = F.filter("heads", lambda h: h["id"] == _id(o, "trace_id"))
+        mine = F.filter(F.get(F.col("slots"), o["slot"]), lambda h: h["id"] == o["trace"])
         return F.try_element_at(mine, F.lit(-1))["start"]
 
     def row(channel: str, doc: Column, trace_id: Column, start: Column) -> Column:
@@ -207,14 +238,8 @@ def explode_members(
         )
     )
     flat = F.transform(
-        "observation_docs",
-        lambda o: row(
-            OBSERVATION, o, none,
-            F.when(
-                F.coalesce(*[values.member(o, k) for k in _STARTS[OBSERVATION]]).isNull(),
-                sibling_start(o),
-            ),
-        ),
+        "siblings",
+        lambda o: row(OBSERVATION, o["doc"], none, F.when(o["trace"].isNotNull(), sibling_start(o))),
     )
     channels = [
         F.array(row(BATCH, none.cast("variant"), none, none)).cast(row_type),
@@ -225,9 +250,8 @@ def explode_members(
     positioned = [
         F.transform(c, lambda r, i: F.struct(i.alias("ordinal"), r.alias("row"))) for c in channels
     ]
-    ok = F.col("refusal").isNull()
     everything = F.when(ok, F.concat(*positioned)).otherwise(positioned[0])
-    return fits.select(
+    return fits.withColumn("slots", slots).select(
         "batch_id", "received_at", "project_id", "sdk_version", "refusal",
         F.explode(everything).alias("m"),
     ).select(
@@ -410,9 +434,8 @@ def batch_verdicts(members: DataFrame) -> DataFrame:
         "rejected_observations": (channel == OBSERVATION) & ~F.col("admitted"),
         "rejected_scores": (channel == SCORE) & ~aimed,
     }
-    per_batch = members.groupBy("batch_id").agg(
+    per_batch = members.groupBy("project_id", "batch_id").agg(
         F.max("received_at").alias("received_at"),
-        F.max("project_id").alias("project_id"),
         F.min("error").alias("reason"),
         *[F.count_if(c).alias(n) for n, c in counts.items()],
     )
@@ -426,11 +449,17 @@ def batch_verdicts(members: DataFrame) -> DataFrame:
 
 
 def accepted_members(members: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Members of accepted batches. A batch is bounded, so its id is no hot key."""
-    refused = verdicts.filter(F.col("status") == REFUSED).select("batch_id")
+    """Members of accepted batches. A batch is bounded, so it is no hot key.
+
+    Batch ids are unique within a project only.
+    """
+    refused = verdicts.filter(F.col("status") == REFUSED).select(
+        F.col("project_id").alias("_project"), F.col("batch_id").alias("_batch")
+    )
     if session.within(refused, session.BROADCAST_ROW_BOUND):
         refused = F.broadcast(refused)
-    return members.join(refused, "batch_id", "left_anti")
+    same = (F.col("batch_id") == F.col("_batch")) & F.col("project_id").eqNullSafe(F.col("_project"))
+    return members.join(refused, same, "left_anti")
 
 
 _HEAD = ["batch_id", "received_at", "ordinal", "project_id"]

@@ -37,6 +37,18 @@ def _segments(key: Column) -> Column:
     return F.size(F.split(key, "-"))
 
 
+def one_price_per_key(prices: DataFrame) -> DataFrame:
+    """Prices with each key once; of repeated keys the one with the highest rates, input first, stays.
+
+    A table without repeats, as it should be, is left as it is.
+    """
+    if prices.groupBy("model_key").count().filter("count > 1").limit(1).count() == 0:
+        return prices
+    best = F.max(F.struct(*[F.col(r) for r in _RATES]))
+    once = prices.groupBy("model_key").agg(best.alias("_rates"))
+    return session.cut_lineage(once.select("model_key", *[F.col("_rates")[r].alias(r) for r in _RATES]))
+
+
 def attach_prices(
     observations: DataFrame,
     prices: DataFrame,
@@ -50,6 +62,7 @@ def attach_prices(
     the distinct model ids first.
     """
     named = observations.withColumn("model_norm", model_ids.normalize(F.col("model"), qualifiers))
+    prices = one_price_per_key(prices)
     if not session.within(prices, bound):
         return _attach_by_distinct(named, prices)
     sized = prices.withColumn("segments", _segments(F.col("model_key")))

@@ -54,13 +54,16 @@ def score_series(scores: DataFrame, unit: str = "day") -> DataFrame:
     )
 
 
-def spend_by(traces_with_rollup: DataFrame, attribute: str) -> DataFrame:
-    """Traces, tokens and cost per value of an attribute; ``tags`` counts once per tag."""
-    value = F.explode_outer("tags") if attribute == "tags" else F.col(attribute)
+def spend_by(traces_with_rollup: DataFrame, attributes: list[str]) -> DataFrame:
+    """Traces, tokens and cost per value of each attribute, in one pass; ``tags`` counts once per tag."""
+    def values(a: str) -> Column:
+        found = F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(F.lit(None).cast("string"))) if a == "tags" else F.array(F.col(a))
+        return F.transform(found, lambda v: F.struct(F.lit(a).alias("attribute"), v.alias("value")))
+
     tagged = traces_with_rollup.select(
-        "project_id", value.alias("value"), "total_tokens", "total_cost_usd"
-    )
-    return tagged.groupBy("project_id", "value").agg(
+        "project_id", F.explode(F.flatten(F.array(*map(values, attributes)))).alias("_of"), "total_tokens", "total_cost_usd"
+    ).select("project_id", "_of.*", "total_tokens", "total_cost_usd")
+    return tagged.groupBy("attribute", "project_id", "value").agg(
         F.count("*").alias("traces"),
         F.sum("total_tokens").alias("total_tokens"),
         F.sum("total_cost_usd").cast("decimal(38,8)").alias("total_cost_usd"),

@@ -42,26 +42,56 @@ def foreign_rows(df: DataFrame, project_id: str | None) -> DataFrame:
 
 
 def checked_write(df: DataFrame, project_id: str | None) -> DataFrame:
-    """The frame, with a failure for any row of another tenant."""
+    """The frame, with a failure for any row of another tenant.
+
+    The guard is a filter, so no later projection takes it away.
+    """
     own = F.col("project_id").eqNullSafe(F.lit(project_id)) & F.lit(bool(project_id))
-    guard = F.when(own, F.col("project_id")).otherwise(
-        F.raise_error(F.lit("row belongs to another tenant"))
-    )
-    return df.withColumn("project_id", guard)
-
-
-def isolation_audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows each table shows when no tenant is set; all must be zero."""
-    counts = [
-        tenant_view(df, None).agg(F.count("*").alias("visible")).select(F.lit(n).alias("table_name"), "visible")
-        for n, df in tables.items()
-    ]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+    return df.filter(F.when(own, True).otherwise(F.raise_error(F.lit("row belongs to another tenant")).cast("boolean")))
+
+
+def isolation_audit(
+    tables: dict[str, DataFrame], projects: DataFrame, references: dict[str, tuple[DataFrame, str, DataFrame]]
+) -> DataFrame:
+    """Per table its rows, those without a project and those of an unknown one; per reference those that leave their project.
+
+    ``references`` names (table, column, target table with ``id``): a reference
+    crosses when its id is found in other projects and not in its own. Counts are
+    partial sums; a target's ids meet once per project, whatever they are sent as.
+    """
+    known = projects.select(F.col("project_id").alias("_known")).distinct()
+    if session.within(known, session.BROADCAST_ROW_BOUND):
+        known = F.broadcast(known)
+    found = []
+    for name, df in tables.items():
+        # One row per project is left to be looked up.
+        counted = df.groupBy("project_id").agg(F.count("*").alias("n"))
+        marked = counted.join(known, F.col("project_id") == F.col("_known"), "left")
+        found.append(marked.agg(
+            F.lit(name).alias("subject"), _sum("n").alias("checked"),
+            _sum(F.when(F.col("project_id").isNull(), F.col("n"))).alias("without_project"),
+            _sum(F.when(F.col("project_id").isNotNull() & F.col("_known").isNull(), F.col("n"))).alias("foreign"),
+        ))
+    for name, (df, column, target) in references.items():
+        sent = df.filter(F.col(column).isNotNull()).groupBy("project_id", F.col(column).alias("id")).agg(F.count("*").alias("n"))
+        homes = target.groupBy("id").agg(F.collect_set("project_id").alias("homes"))  # few projects share an id
+        placed = sent.join(homes, "id", "left")
+        crosses = F.col("homes").isNotNull() & ~F.coalesce(F.array_contains("homes", F.col("project_id")), F.lit(False))
+        found.append(placed.agg(
+            F.lit(name).alias("subject"), _sum("n").alias("checked"),
+            _sum(F.when(F.col("project_id").isNull(), F.col("n"))).alias("without_project"),
+            _sum(F.when(crosses, F.col("n"))).alias("foreign"),
+        ))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
     return out
 
 
+def _sum(c) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0).cast("bigint"))
+
+
 def visible_projects(projects: DataFrame, members: DataFrame, user_id: str | None = None) -> DataFrame:
     """Projects of each user, oldest membership first."""
     mine = members if user_id is None else members.filter(F.col("user_id") == user_id)

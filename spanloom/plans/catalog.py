@@ -86,7 +86,7 @@ def trace_list_all(fx: Fixtures) -> DataFrame:
 @query(f"SELECT {_LIST_SQL} FROM fx_listed ORDER BY fx_listed.started_at DESC, id DESC LIMIT 50")
 def trace_list_page(fx: Fixtures) -> DataFrame:
     obs = fx.priced()
-    return listing.list_page(fx.windowed_traces(obs), obs, limit=50).rows.select(*_list_columns())
+    return listing.newest_page(fx.windowed_traces(obs), obs, limit=50).rows.select(*_list_columns())
 
 
 @query("""
@@ -272,6 +272,19 @@ def trace_fold_in_two_steps(fx: Fixtures) -> DataFrame:
 ORACLES["trace_fold_in_two_steps"] = ORACLES["trace_fold"]
 
 
+@query()
+def trace_fold_overlapping(fx: Fixtures) -> DataFrame:
+    """Three states of events dealt by batch, so that they overlap in time, folded together; equals trace_fold."""
+    events = fold.fold_inputs(fx.trace_deliveries(), fx.observation_deliveries())
+    part = F.pmod(F.xxhash64("batch_id"), F.lit(3))
+    states = [fold.state_events(fold.fold_traces(events.filter(part == n))) for n in (2, 0, 1)]
+    two = fold.state_events(fold.fold_traces(states[0].unionByName(states[1])))
+    return _folded_columns(fold.fold_traces(two.unionByName(states[2])))
+
+
+ORACLES["trace_fold_overlapping"] = ORACLES["trace_fold"]
+
+
 @query(f"""SELECT w.project_id, w.batch_id, w.trace_id, {_ts('lo')}, {_ts('hi')}
     FROM fx_batch_windows w WHERE NOT EXISTS (
       SELECT 1 FROM fx_trace_deliveries d
@@ -661,10 +674,30 @@ def tenant_rollup(fx: Fixtures) -> DataFrame:
     return listing.rollup(mine).withColumn("total_cost_usd", dec("total_cost_usd"))
 
 
-@query("""SELECT * FROM (VALUES ('observations', 0::bigint), ('scores', 0), ('traces', 0)) v(table_name, visible)""")
+_CROSSING = """SELECT '{0}' AS subject, CAST(count(*) AS bigint) AS checked, CAST(count(*) FILTER (r.project_id IS NULL) AS bigint) AS without_project,
+    CAST(count(*) FILTER (EXISTS (SELECT 1 FROM {2} t WHERE t.id = r.{1}) AND NOT EXISTS (SELECT 1 FROM {2} t WHERE t.id = r.{1} AND t.project_id = r.project_id)) AS bigint) AS foreign
+    FROM {3} r WHERE r.{1} IS NOT NULL"""
+_UNKNOWN = """SELECT '{0}' AS subject, CAST(count(*) AS bigint) AS checked, CAST(count(*) FILTER (project_id IS NULL) AS bigint) AS without_project,
+    CAST(count(*) FILTER (project_id NOT IN (SELECT project_id FROM known)) AS bigint) AS foreign FROM {0}"""
+
+
+@query(f"""WITH known AS (SELECT project_id FROM fx_projects WHERE project_id <> 'p3'),
+    traces AS (SELECT CASE WHEN id LIKE '%7' THEN NULL ELSE project_id END AS project_id, id FROM fx_traces),
+    observations AS (SELECT CASE WHEN id LIKE '%1' THEN 'p1' ELSE project_id END AS project_id, trace_id FROM fx_observations),
+    scores AS (SELECT project_id, trace_id FROM fx_scores)
+    {_UNKNOWN.format('traces')} UNION ALL {_UNKNOWN.format('observations')} UNION ALL {_UNKNOWN.format('scores')}
+    UNION ALL {_CROSSING.format('observation.trace', 'trace_id', 'traces', 'observations')}
+    UNION ALL {_CROSSING.format('score.trace', 'trace_id', 'traces', 'scores')}""")
 def isolation_audit(fx: Fixtures) -> DataFrame:
+    """Tables with a project missing, rows without one, and observations filed under another's."""
+    traces = fx.traces().withColumn("project_id", F.when(~F.col("id").endswith("7"), F.col("project_id")))
+    observations = fx.observations(with_model=False).withColumn(
+        "project_id", F.when(F.col("id").endswith("1"), "p1").otherwise(F.col("project_id"))
+    )
     return tenancy.isolation_audit(
-        {"traces": fx.traces(), "observations": fx.observations(with_model=False), "scores": fx.scores()}
+        {"traces": traces, "observations": observations, "scores": fx.scores()},
+        fx.projects().filter("project_id <> 'p3'"),
+        {"observation.trace": (observations, "trace_id", traces), "score.trace": (fx.scores(), "trace_id", traces)},
     )
 
 
@@ -778,24 +811,21 @@ def dangling_refs(fx: Fixtures) -> DataFrame:
 
 # --- Streaming ----------------------------------------------------------------
 def _event_stream(fx: Fixtures) -> DataFrame:
-    schema = fx.table("events").schema
-    return (
-        fx.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(fx.sf_dir)
-    )
+    # A pattern matches a file and a folder of files alike.
+    return fx.spark.readStream.schema(fx.table("events").schema).parquet(f"{fx.sf_dir.rstrip('/')}/events.parque[t]")
 
 
 @query(_sql(f"""SELECT $trace[event_id] AS id, {_ts('ts')}, event_type AS type FROM events"""))
 def stream_dedupe(fx: Fixtures) -> DataFrame:
-    """Each event arrives twice on the stream and is kept once."""
-    sent = _event_stream(fx).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).selectExpr(
-        "'p' || (user_id % 25) AS project_id", TRACE_ID_OF_EVENT, "cast(ts AS timestamp) AS started_at", "event_type AS type"
+    """Each event arrives twice, in several micro-batches, the newest first, and is kept once."""
+    sent = fx.table("events").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).selectExpr(
+        "'p' || (user_id % 25) AS project_id", TRACE_ID_OF_EVENT, "cast(ts AS timestamp) AS started_at", "event_type AS type",
+        "cast(ts AS timestamp) + make_dt_interval(copy) AS received_at", "'b' || copy AS batch_id", "event_id AS ordinal", "copy",
     )
-    out = session.scratch_path(fx.spark, "dedupe")
-    run = (
-        ingest.dedupe_stream(sent).writeStream.format("parquet").option("checkpointLocation", f"{out}-state")
-        .trigger(availableNow=True).start(out)
-    )
-    run.awaitTermination()
+    inbox, out = session.scratch_path(fx.spark, "dedupe-in"), session.scratch_path(fx.spark, "dedupe")
+    sent.repartitionByRange(4, F.col("started_at").desc(), "copy").write.parquet(inbox)
+    arriving = fx.spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(inbox).drop("copy")
+    ingest.start_dedupe(arriving, out, f"{out}-state", available_now=True).awaitTermination()
     return fx.spark.read.parquet(out).select("id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "type")
 
 
@@ -807,19 +837,26 @@ TRACE_ID_OF_EVENT = "'00000000-0000-4000-8000-' || lpad(cast(event_id AS string)
     FROM events"""))
 def stream_ingest(fx: Fixtures) -> DataFrame:
     """Raw bodies from a stream through normalise, gates, prices, dedupe and fold."""
+    root = session.scratch_path(fx.spark, "ingest")
+    layout = ingest.Layout.under(root)
+    ingest.start_ingest(_raw_events(_event_stream(fx)), layout, f"{root}/state", fx.prices(), available_now=True).awaitTermination()
+    return _ingested(fx, layout)
+
+
+def _raw_events(events: DataFrame) -> DataFrame:
     doc = F.struct(
         F.expr(TRACE_ID_OF_EVENT).alias("id"), F.col("event_type").alias("type"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("start_time"), F.col("value").alias("latency_ms"),
     )
-    raw = _event_stream(fx).select(
+    return events.select(
         F.concat(F.lit("e"), "event_id").alias("batch_id"),
         (F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 MINUTE")).alias("received_at"),
         F.lit("p0").alias("project_id"),
         F.to_json(F.struct(F.array(doc, doc).alias("events"))).alias("body"),
     )
-    root = session.scratch_path(fx.spark, "ingest")
-    layout = ingest.Layout.under(root)
-    ingest.start_ingest(raw, layout, f"{root}/state", fx.prices(), available_now=True).awaitTermination()
+
+
+def _ingested(fx: Fixtures, layout: ingest.Layout) -> DataFrame:
     stored = fx.spark.read.parquet(layout.observations)
     traces = tables.read_traces(fx.spark, layout.trace_log)
     rolled = listing.rollup(stored.withColumn("total_tokens", F.lit(0)))
@@ -828,6 +865,51 @@ def stream_ingest(fx: Fixtures) -> DataFrame:
     )
 
 
+@query()
+def stream_restart(fx: Fixtures) -> DataFrame:
+    """Two streams with fresh checkpoints into one layout, a third of the events in both; equals stream_ingest."""
+    root = session.scratch_path(fx.spark, "restart")
+    layout = ingest.Layout.under(root)
+    for name, own in (("first", F.col("event_id") % 3 < 2), ("second", F.col("event_id") % 3 > 0)):
+        raw = _raw_events(_event_stream(fx).filter(own))
+        ingest.start_ingest(raw, layout, f"{root}/{name}", fx.prices(), available_now=True, stream=name).awaitTermination()
+    return _ingested(fx, layout)
+
+
+ORACLES["stream_restart"] = ORACLES["stream_ingest"]
+
+
+@query(_sql("""SELECT 'late' AS kind, $trace[event_id] AS id, '2024-06' AS version FROM events WHERE event_id % 4 = 0
+    UNION ALL SELECT 'untargeted', 'e' || event_id, '2024-06' FROM events WHERE event_id % 4 = 1
+    UNION ALL SELECT 'refused', '{"n":' || event_id || '}', '2024-06' FROM events WHERE event_id % 4 = 2
+    UNION ALL SELECT 'stored', $trace[event_id], '2024-06' FROM events WHERE event_id % 4 = 3"""))
+def stream_rejects(fx: Fixtures) -> DataFrame:
+    """What a stream sets aside: late observations, scores without a target, refused bodies; and what it stores."""
+    start = F.when(F.col("event_id") % 4 == 0, F.expr("ts - INTERVAL 40 DAYS")).otherwise(F.col("ts"))
+    span = F.struct(F.expr(TRACE_ID_OF_EVENT).alias("id"), F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("start_time"))
+    score = F.struct(F.lit("s").alias("name"), F.lit(1).alias("value"))
+    body = (
+        F.when(F.col("event_id") % 4 == 1, F.to_json(F.struct(F.array(score).alias("scores"))))
+        .when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"n":'), "event_id", F.lit("}")))
+        .otherwise(F.to_json(F.struct(F.array(span).alias("observations"))))
+    )
+    raw = _event_stream(fx).select(
+        F.concat(F.lit("e"), "event_id").alias("batch_id"), F.col("ts").cast("timestamp").alias("received_at"),
+        F.lit("p0").alias("project_id"), body.alias("body"),
+    )
+    root = session.scratch_path(fx.spark, "rejects")
+    layout = ingest.Layout.under(root)
+    ingest.start_ingest(raw, layout, f"{root}/state", fx.prices(), available_now=True, price_version="2024-06").awaitTermination()
+    read = fx.spark.read.parquet
+    given = F.lit("2024-06").alias("version")
+    return (
+        read(layout.late_observations).select(F.lit("late").alias("kind"), "id", given)
+        .unionByName(read(layout.untargeted_scores).select(F.lit("untargeted").alias("kind"), F.col("batch_id").alias("id"), given))
+        .unionByName(read(layout.refusals).select(F.lit("refused").alias("kind"), F.col("body").alias("id"), given))
+        .unionByName(read(layout.observations).select(F.lit("stored").alias("kind"), "id", F.col("pricebook_version").alias("version")))
+    )
+
+
 # --- Reports ------------------------------------------------------------------
 @query(f"""SELECT p.name AS project_name, t.name AS trace_name, t.id AS trace_id, o.id AS observation_id, {_ts('o.started_at')},
            'p' || strftime(o.started_at, '%Y%m%d') AS partition
@@ -911,14 +993,8 @@ _ATTRIBUTES = ["environment", "release", "tags", "user_id"]
 
 @query(" UNION ALL ".join(_spend_sql(a) for a in _ATTRIBUTES))
 def spend_by_attribute(fx: Fixtures) -> DataFrame:
-    listed = session.stage(listing.list_all(fx.traces(), fx.priced()).drop("metadata"), "spend")
-    out = None
-    for a in _ATTRIBUTES:
-        part = reports.spend_by(listed, a).select(
-            F.lit(a).alias("attribute"), "project_id", "value", "traces", "total_tokens", dec("total_cost_usd")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = reports.spend_by(listing.list_all(fx.traces(), fx.priced()), _ATTRIBUTES)
+    return found.withColumn("total_cost_usd", dec("total_cost_usd"))
 
 
 @query("""SELECT project_id, name, count(*) FILTER (release = 'r1996') AS r1996_traces,

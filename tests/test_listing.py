@@ -37,7 +37,7 @@ def test_rollup_zeros_and_duration(spark):
     spans = make_spans(spark, [(uid(10 + i), uid(1), "p", T0 + timedelta(seconds=i), 10, 5, 100, D("0.00012500")) for i in range(3)])
     traces = make_traces(spark, [(uid(1), "p", T0, T0 + timedelta(seconds=2), [], None), (uid(2), "p", T0, None, [], None),
                                  (uid(3), "p", T0, T0 - timedelta(seconds=1), [], None)])
-    page = listing.list_page(fold.rebuild_windows(traces, spans), spans)
+    page = listing.newest_page(fold.rebuild_windows(traces, spans), spans)
     got = {r.id: r for r in page.rows.collect()}
     a = got[uid(1)]
     assert (a.observation_count, a.prompt_tokens, a.completion_tokens, a.total_tokens, a.total_latency_ms, a.duration_ms) == (3, 30, 15, 45, 300, 2000)
@@ -46,7 +46,7 @@ def test_rollup_zeros_and_duration(spark):
     assert (b.observation_count, b.total_cost_usd, b.duration_ms) == (0, 0, None)
     assert got[uid(3)].duration_ms == 0
     # The list and the detail of a trace agree.
-    one = detail.trace_detail(fold.rebuild_windows(traces, spans), spans, make_scores(spark), uid(1))
+    one = detail.trace_detail(fold.rebuild_windows(traces, spans), spans, make_scores(spark), "p", uid(1))
     row = one.trace.first()
     assert [row[c] for c in listing.ROLLUP_COLUMNS] == [a[c] for c in listing.ROLLUP_COLUMNS]
     assert [o.id for o in one.observations.collect()] == [uid(10), uid(11), uid(12)]
@@ -61,7 +61,7 @@ def test_paging_covers_ties_once(spark):
     spans = make_spans(spark, [])
     seen, cursor = [], None
     while True:
-        page = listing.list_page(traces, spans, limit=3, cursor=cursor)
+        page = listing.newest_page(traces, spans, limit=3, cursor=cursor)
         seen.append([r.id for r in page.rows.collect()])
         cursor = page.next_cursor
         if not page.has_more:
@@ -81,7 +81,25 @@ def test_filters(spark):
     assert ids({"from": T0 + timedelta(hours=1), "to": "2024-01-01T04:00:00Z"}) == [1, 2, 3]
     assert listing.read_filters({"name": ["a", "b"], "tag": ["x", ""], "user_id": "", "zzz": 1}) == {"name": "b", "tags": ["x"]}
     assert listing.split_tags(" a, b ,,a") == ["a", "b"]
-    assert [listing.page_size(x) for x in (None, 0, 7, 999)] == [50, 1, 7, 200]
+    assert [listing.page_size(x) for x in (None, 1, 7, 200)] == [50, 1, 7, 200]
+    for refused in (0, 201, -1):
+        with pytest.raises(ValueError, match="limit"):
+            listing.page_size(refused)
+    assert listing.page_size(5000, most=None) == 5000
+
+
+def test_one_trace_id_in_two_projects(spark):
+    traces = make_traces(spark, [(uid(1), "p", T0, None, [], None), (uid(1), "q", T0 + timedelta(1), None, [], None), (uid(2), "q", T0, None, [], None)])
+    spans = make_spans(spark, [(uid(11), uid(1), "p", T0, 1, 1, 1, D(1)), (uid(12), uid(1), "q", T0, 2, 2, 2, D(2)), (uid(13), uid(1), "q", T0, 4, 4, 4, D(4))])
+    stored = fold.rebuild_windows(traces, spans)
+    rows = {p: [(r.id, r.project_id, r.observation_count) for r in listing.list_page(stored, spans, p).rows.collect()] for p in ("p", "q", "r", None)}
+    assert rows == {"p": [(uid(1), "p", 1)], "q": [(uid(1), "q", 2), (uid(2), "q", 0)], "r": [], None: []}
+    scores = make_scores(spark, [(i, p, t, o, "n", "numeric", D(1), None, "human", T0 + timedelta(n)) for n, (i, p, t, o) in enumerate(
+        [("s1", "p", uid(1), None), ("s2", "q", None, uid(13)), ("s3", "q", uid(1), uid(12)), ("s4", "q", uid(2), uid(12)), ("s5", "q", uid(2), None)])])
+    one = detail.trace_detail(stored, spans, scores, "q", uid(1))
+    assert [o.id for o in one.observations.collect()] == [uid(12), uid(13)]
+    assert [s.id for s in one.scores.collect()] == ["s2", "s3", "s4"]
+    assert detail.trace_detail(stored, spans, scores, None, uid(1)) is None
 
 
 def test_cursor_round_trip_and_refusals(spark):
@@ -138,4 +156,4 @@ def test_scores_of_either_target(spark):
 
 
 def test_detail_of_unknown_trace(spark):
-    assert detail.trace_detail(make_traces(spark, []), make_spans(spark, []), make_scores(spark), uid(1)) is None
+    assert detail.trace_detail(make_traces(spark, []), make_spans(spark, []), make_scores(spark), "p", uid(1)) is None

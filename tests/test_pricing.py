@@ -95,3 +95,12 @@ def test_pricing_does_not_shuffle_observations(spark, prices):
 def test_qualifier_list_is_a_parameter(spark):
     df = spark.createDataFrame([("mine/gpt-4o",)], "m string")
     assert df.select(model_ids.normalize(F.col("m"), ["mine/"])).first()[0] == "gpt-4o"
+
+
+@pytest.mark.parametrize("bound", [1, 200_000])
+def test_a_repeated_key_has_one_price(spark, prices, bound):
+    twice = prices.unionByName(prices.withColumn("input_usd_per_mtok", F.col("input_usd_per_mtok") * 2).select(*[F.col(f.name).cast(f.dataType) for f in prices.schema]))
+    obs = spark.range(4).selectExpr("id", "'gpt-4o-' || id AS model")
+    found = pricing.attach_prices(obs, twice, bound=bound)
+    assert found.count() == 4
+    assert {r.input_usd_per_mtok for r in found.collect()} == {r.input_usd_per_mtok * 2 for r in pricing.attach_prices(obs, prices).collect()}

@@ -65,7 +65,7 @@ def test_stream_over_several_epochs(spark, tmp_path, dims):
     whole = tables.read_traces(spark, layout.trace_log).drop("metadata").collect()
     stepped = tables.read_traces(spark, layout.trace_log, base).drop("metadata").collect()
     assert whole == stepped and whole[0].user_id == "u" and whole[0].name == "real"
-    page = listing.list_page(tables.read_traces(spark, layout.trace_log), spark.read.parquet(layout.observations))
+    page = listing.list_page(tables.read_traces(spark, layout.trace_log), spark.read.parquet(layout.observations), "p1")
     assert page.rows.first().total_cost_usd == D("1.00000000")
 
 
@@ -77,14 +77,20 @@ def test_replayed_epoch_overwrites_itself(spark, tmp_path, dims):
     for _ in range(2):
         ingest.write_epoch(df, 0, layout, prices)
     ingest.write_epoch(df, 1, layout, prices)
+    other = df.withColumn("batch_id", F.lit("b"))
+    with pytest.raises(ValueError, match="other input"):
+        ingest.write_epoch(other, 0, layout, prices)
+    ingest.write_epoch(other, 0, layout, lambda: prices, stream="restarted")
     assert spark.read.parquet(layout.observations).count() == 1
     assert tables.read_traces(spark, layout.trace_log).count() == 1
 
 
 def test_dedupe_stream_keeps_one(spark, tmp_path):
     src = str(tmp_path / "src")
-    spark.sql("SELECT 'p' project_id, 'i' || (id % 10) id, timestamp'2024-01-01' started_at FROM range(100)").write.parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    spark.sql("SELECT 'p' project_id, 'i' || (id % 10) id, timestamp'2024-01-01' started_at, timestamp'2024-01-01' received_at, 'b' batch_id, id ordinal FROM range(100)").write.parquet(src)
+    for day in (20, 2, 25):  # far apart and out of order
+        spark.sql(f"SELECT 'p' project_id, 'j' || (id % 10) id, timestamp'2024-01-{day}' started_at, timestamp'2024-01-01' received_at, 'b' batch_id, id ordinal FROM range(100)").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = str(tmp_path / "out")
-    ingest.dedupe_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out).awaitTermination()
-    assert spark.read.parquet(out).count() == 10
+    ingest.start_dedupe(stream, out, str(tmp_path / "ck"), available_now=True).awaitTermination()
+    assert spark.read.parquet(out).count() == 40

@@ -43,7 +43,16 @@ def test_tenant_filter_fails_closed(spark):
     assert tenancy.checked_write(df.filter("v = 1"), "a").count() == 1
     with pytest.raises(Exception, match="another tenant"):
         tenancy.checked_write(df, "a").collect()
-    assert {r.visible for r in tenancy.isolation_audit({"x": df, "y": df}).collect()} == {0}
+    with pytest.raises(Exception, match="another tenant"):
+        tenancy.checked_write(df, "a").select("v").collect()
+
+
+def test_isolation_audit(spark):
+    projects = spark.createDataFrame([("a",), ("b",)], "project_id string")
+    traces = spark.createDataFrame([("a", "t1"), ("b", "t2"), ("x", "t3"), (None, "t4")], "project_id string, id string")
+    spans = spark.createDataFrame([("a", "t1"), ("a", "t2"), ("b", "t9"), ("a", None), (None, "t1")], "project_id string, trace_id string")
+    found = {r.subject: tuple(r)[1:] for r in tenancy.isolation_audit({"traces": traces, "spans": spans}, projects, {"span.trace": (spans, "trace_id", traces)}).collect()}
+    assert found == {"traces": (4, 1, 1), "spans": (5, 1, 0), "span.trace": (4, 1, 2)}
 
 
 def test_keys(spark, keys):
