@@ -17,6 +17,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +31,7 @@ from spanloom.llm.common import raw, slices
 
 SEQUENCE = 2048  # tokens
 END_ID = 1  # closes each document
-BUCKET = 8192  # pieces ranked in one task
+BUCKET = 1024  # pieces ranked in one task
 CACHED_WORDS = 300_000  # per worker
 
 
@@ -89,6 +90,12 @@ class _Known(dict):
         return ids
 
 
+@lru_cache(maxsize=1)
+def _tokens(path: str) -> Tokens:
+    """One per worker process, so that tasks which follow each other share the words seen."""
+    return Tokens(path)
+
+
 def cut(ids: bytes, sequence: int) -> Iterator[tuple[int, int, int]]:
     """(start, length, crc32) of the pieces of a document's ids."""
     n = len(ids) // 4
@@ -108,7 +115,7 @@ def pieces(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str | None = N
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        tokens = Tokens(vocabulary or default_vocabulary())
+        tokens = _tokens(vocabulary or default_vocabulary())
         end = np.array([END_ID], "<u4").tobytes()
         for batch in slices(batches):
             of, rows = [], []
