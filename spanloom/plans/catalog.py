@@ -809,6 +809,57 @@ def dangling_refs(fx: Fixtures) -> DataFrame:
     return maintenance.dangling_references(fx.traces(), fx.observations(with_model=False), fx.scores())
 
 
+# --- Flat members beside their traces ------------------------------------------
+_KEY = "'00000000-0000-4000-8000-' || lpad(cast({0} AS string), 12, '0')"
+
+
+def _sibling_batches(fx: Fixtures) -> DataFrame:
+    """One batch per customer: its orders as traces, some sent again with a later start, and their items flat."""
+    stamp = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    def sent(shift: int) -> Column:
+        at = F.date_format(F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=F.lit(shift)), stamp)
+        return F.struct(F.expr(_KEY.format("o_orderkey")).alias("id"), at.alias("start_time"))
+
+    traces = fx.table("orders").groupBy("o_custkey").agg(
+        F.concat(F.collect_list(sent(0)), F.collect_list(F.when(F.col("o_orderkey") % 3 == 0, sent(1)))).alias("traces")
+    )
+    item = F.struct(
+        F.expr(_KEY.format("l_orderkey * 8 + l_linenumber")).alias("id"),
+        F.expr(_KEY.format("if(l_linenumber = 7, 999999999999, l_orderkey)")).alias("trace_id"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.date_format(F.col("l_shipdate").cast("timestamp"), stamp)).alias("start_time"),
+    )
+    items = (
+        fx.table("lineitem").join(fx.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .groupBy("o_custkey").agg(F.collect_list(item).alias("observations"))
+    )
+    return traces.join(items, "o_custkey").select(
+        F.concat(F.lit("c"), "o_custkey").alias("batch_id"), F.lit("2000-01-01").cast("timestamp").alias("received_at"),
+        F.lit("p0").alias("project_id"), F.to_json(F.struct("traces", "observations")).alias("body"),
+    )
+
+
+@query(_sql("""SELECT $trace[l_orderkey * 8 + l_linenumber] AS id, strftime(CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS timestamp)
+        WHEN l_linenumber = 7 THEN TIMESTAMP '2000-01-01'
+        ELSE CAST(o_orderdate AS timestamp) + CASE WHEN o_orderkey % 3 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END END, '%Y-%m-%d %H:%M:%S.%f') AS started_at
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""))
+def ingest_siblings(fx: Fixtures) -> DataFrame:
+    """Flat observations without a start take it from the batch's last trace of their id, else from the receipt."""
+    members = normalize.read_members(_sibling_batches(fx))
+    return normalize.observation_events(members).select("id", ts("started_at"))
+
+
+@query("""WITH n AS (SELECT o_custkey, count(*) + count(*) FILTER (o_orderkey % 3 = 0) AS traces FROM orders GROUP BY o_custkey),
+    i AS (SELECT o_custkey, count(*) AS items FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey)
+    SELECT 'c' || o_custkey AS batch_id, CASE WHEN traces > 14 OR items > 45 THEN 'refused' ELSE 'accepted' END AS status,
+           CASE WHEN traces > 14 OR items > 45 THEN 'too_large_config' END AS reason,
+           CAST(CASE WHEN traces > 14 OR items > 45 THEN 0 ELSE traces END AS bigint) AS accepted_traces
+    FROM n JOIN i USING (o_custkey)""")
+def batch_ceilings(fx: Fixtures) -> DataFrame:
+    """Batches beyond the configured ceilings are refused whole."""
+    members = normalize.read_members(_sibling_batches(fx), max_traces=14, max_observations=45)
+    return normalize.batch_verdicts(members).select("batch_id", "status", "reason", "accepted_traces")
+
+
 # --- Streaming ----------------------------------------------------------------
 def _event_stream(fx: Fixtures) -> DataFrame:
     # A pattern matches a file and a folder of files alike.
