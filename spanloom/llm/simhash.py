@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from spanloom.llm import graph
 from spanloom.llm.common import pin, raw, slices
 
-SHARD_POINTS = 16_384  # points a shard is meant to hold
+SHARD_POINTS = 16_384  # points a shard should hold before more tasks than cores would be busy
+FULL_SHARD = 1 << 20  # points a shard may hold then; each further cut sends more points twice
 SAMPLE_POINTS = 64  # points per shard that the routing tree is built from
+TASKS_PER_CORE = 4
 MAX_SHARDS = 16_384
 LEAF_CELLS = 1 << 18  # comparisons done at once at a leaf of a shard's tree
 PAIR_BUFFER = 1 << 21  # pairs held before they are reduced to a forest
@@ -227,7 +229,9 @@ def links(points: DataFrame, max_distance: int = 3) -> DataFrame:
     ``SAMPLE_POINTS`` points per shard, picked by hash: 0.4 % of the points.
     """
     total = points.count()
-    shards = min(MAX_SHARDS, 1 << max(0, math.ceil(math.log2(max(1, total) / SHARD_POINTS))))
+    busy = TASKS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism
+    wanted = max(1, min(total / SHARD_POINTS, max(busy, total / FULL_SHARD)))
+    shards = min(MAX_SHARDS, 1 << math.ceil(math.log2(wanted)))
     tree = 0
     if shards > 1:
         share = F.pmod(F.xxhash64("fp", F.lit("route")), F.lit(1 << 30)) < int((1 << 30) * shards * SAMPLE_POINTS / total)
