@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom import session
@@ -89,6 +89,34 @@ def trace_list_page(fx: Fixtures) -> DataFrame:
     return listing.newest_page(fx.windowed_traces(obs), obs, limit=50).rows.select(*_list_columns())
 
 
+@query(f"SELECT {_LIST_SQL} FROM fx_listed WHERE project_id = 'p3' ORDER BY fx_listed.started_at DESC, id DESC LIMIT 50")
+def tenant_list_page(fx: Fixtures) -> DataFrame:
+    obs = fx.priced()
+    return listing.list_page(fx.windowed_traces(obs), obs, "p3", limit=50).rows.select(*_list_columns())
+
+
+@query("""WITH one AS (SELECT project_id, min(id) AS id FROM fx_traces WHERE project_id = 'p3' GROUP BY project_id),
+    own AS (SELECT o.* FROM fx_observations o JOIN one ON o.project_id = one.project_id AND o.trace_id = one.id),
+    shown AS (SELECT c.* FROM fx_scores c JOIN one ON c.project_id = one.project_id
+              WHERE c.trace_id = one.id OR c.observation_id IN (SELECT id FROM own))
+    SELECT 'observation' AS kind, id, row_number() OVER (ORDER BY started_at, id) AS position FROM own
+    UNION ALL SELECT 'score', id, row_number() OVER (ORDER BY scored_at, id) FROM shown
+    UNION ALL SELECT 'trace', id, 1 FROM one""")
+def trace_detail(fx: Fixtures) -> DataFrame:
+    """The first trace of a tenant: its observations and scores in their order."""
+    obs = fx.priced()
+    traces = fx.windowed_traces(obs)
+    first = traces.filter("project_id = 'p3'").agg(F.min("id")).first()[0]
+    found = detail.trace_detail(traces, obs, fx.scores(), "p3", first)
+    parts = [("observation", found.observations, "started_at"), ("score", found.scores, "scored_at"), ("trace", found.trace, "started_at")]
+    out = None
+    for kind, rows, at in parts:
+        place = F.row_number().over(Window.orderBy(at, "id")).cast("bigint")  # of one trace
+        part = rows.select(F.lit(kind).alias("kind"), "id", place.alias("position"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("""
     SELECT project_id, id, row_number() OVER w AS position,
            CAST(floor((row_number() OVER w - 1) / 50) AS bigint) + 1 AS page
@@ -330,6 +358,20 @@ def window_repair(fx: Fixtures) -> DataFrame:
     return wrong.select("project_id", "id", ts("observations_started_min"), ts("observations_started_max"))
 
 
+@query(f"""SELECT project_id, id, strftime(lo, '%Y-%m-%d %H:%M:%S.%f') AS observations_started_min,
+           strftime(hi, '%Y-%m-%d %H:%M:%S.%f') AS observations_started_max
+    FROM ({_TRUE_WINDOWS}) w WHERE id LIKE '%3' AND EXISTS (SELECT 1 FROM fx_traces t WHERE t.project_id = w.project_id AND t.id = w.id)""")
+def window_repair_of_some(fx: Fixtures) -> DataFrame:
+    """Most stored windows are right and stay out of the repair."""
+    obs = fx.observations(with_model=False)
+    late = F.when(F.col("id").endswith("3"), F.col("observations_started_max") + F.expr("INTERVAL 1 DAY"))
+    stored = fold.rebuild_windows(_stored_windows(fx), obs).withColumn(
+        "observations_started_max", F.coalesce(late, F.col("observations_started_max"))
+    )
+    wrong = fold.windows_to_repair(stored, obs)
+    return wrong.select("project_id", "id", ts("observations_started_min"), ts("observations_started_max"))
+
+
 # --- Normalisation and gates on raw JSON --------------------------------------
 def _accepted(batches: DataFrame) -> DataFrame:
     """Parsed and typed once, then judged and filtered from the staged rows."""
@@ -848,6 +890,33 @@ def ingest_siblings(fx: Fixtures) -> DataFrame:
     return normalize.observation_events(members).select("id", ts("started_at"))
 
 
+_SIBLING_WINDOWS = """SELECT 'c' || o_custkey AS batch_id, CASE WHEN l_linenumber = 7 THEN '00000000-0000-4000-8000-999999999999' ELSE $trace[l_orderkey] END AS trace_id,
+    min(began) AS lo, max(began) AS hi FROM (SELECT o_custkey, l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS timestamp)
+        WHEN l_linenumber = 7 THEN TIMESTAMP '2000-01-01'
+        ELSE CAST(o_orderdate AS timestamp) + CASE WHEN o_orderkey % 3 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END END AS began
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY ALL"""
+
+
+@query(_sql(f"""SELECT batch_id, trace_id, {_ts('lo')}, {_ts('hi')} FROM ({_SIBLING_WINDOWS})"""))
+def sibling_windows(fx: Fixtures) -> DataFrame:
+    """Per batch and trace the span of starts of several observations."""
+    members = normalize.read_members(_sibling_batches(fx))
+    return _windows(fold.batch_windows(normalize.observation_events(members)))
+
+
+@query(_sql(f"""SELECT batch_id, trace_id, {_ts('lo')}, {_ts('hi')} FROM ({_SIBLING_WINDOWS}) WHERE trace_id LIKE '%999999999999'"""))
+def sibling_stubs(fx: Fixtures) -> DataFrame:
+    """Only the trace that the batches don't carry is a stub; all others have a real send beside them."""
+    members = session.stage(normalize.read_members(_sibling_batches(fx)), "siblings")
+    windows = fold.batch_windows(normalize.observation_events(members))
+    return _windows(fold.stub_traces(normalize.trace_events(members), windows))
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    named = df.withColumnsRenamed({"observations_started_min": "lo", "observations_started_max": "hi"})
+    return named.select("batch_id", "trace_id", ts("lo"), ts("hi"))
+
+
 @query("""WITH n AS (SELECT o_custkey, count(*) + count(*) FILTER (o_orderkey % 3 = 0) AS traces FROM orders GROUP BY o_custkey),
     i AS (SELECT o_custkey, count(*) AS items FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey)
     SELECT 'c' || o_custkey AS batch_id, CASE WHEN traces > 14 OR items > 45 THEN 'refused' ELSE 'accepted' END AS status,
