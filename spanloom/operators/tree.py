@@ -18,6 +18,9 @@ from spanloom.operators.ranking import number_rows
 
 TRACE = ["project_id", "trace_id"]
 _STEP = "struct<ms:bigint,id:string>"
+# Rounds in which open spans carry paths before it is settled which of them will
+# ever finish: paths of spans on or below a cycle stay within 2 ** ROUNDS steps.
+ROUNDS = 4
 
 
 def first_spans(observations: DataFrame) -> DataFrame:
@@ -38,6 +41,21 @@ def _spans(observations: DataFrame) -> DataFrame:
     )
 
 
+def _endless(open_: DataFrame) -> DataFrame:
+    """Ids of open spans that never reach a root; only ids are carried to find out."""
+    left = session.cut_lineage(open_.select(*TRACE, "id", "anc"))
+    waiting = left.count()
+    while waiting:
+        # An ancestor that isn't open has finished, and so does what reaches it.
+        up = left.select(*TRACE, F.col("id").alias("anc"), F.col("anc").alias("_anc"))
+        left = session.cut_lineage(left.join(up, [*TRACE, "anc"]).select(*TRACE, "id", F.col("_anc").alias("anc")))
+        still = left.count()
+        if still == waiting:
+            break
+        waiting = still
+    return left.select(*TRACE, "id")
+
+
 def _parents(spans: DataFrame) -> DataFrame:
     """Spans named as a parent, with the path from their root; NULL path in a cycle."""
     named = spans.filter(F.col("parent").isNotNull()).select(*TRACE, F.col("parent").alias("id")).distinct()
@@ -52,8 +70,16 @@ def _parents(spans: DataFrame) -> DataFrame:
     )
     done = state.filter(F.col("anc").isNull())
     open_ = state.filter(F.col("anc").isNotNull())
-    waiting = open_.count()
+    waiting, rounds = open_.count(), 0
+    endless = None
     while waiting:
+        if rounds == ROUNDS:
+            endless = _endless(open_)
+            open_ = session.cut_lineage(open_.join(endless, [*TRACE, "id"], "left_anti"))
+            waiting = open_.count()
+            if not waiting:
+                break
+        rounds += 1
         up = done.unionByName(open_).select(
             *TRACE, F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("path").alias("_path")
         )
@@ -68,6 +94,8 @@ def _parents(spans: DataFrame) -> DataFrame:
         if still == waiting:
             break
         waiting = still
+    if endless is not None:
+        open_ = open_.select(*TRACE, "id").unionByName(endless)
     stuck = open_.select(*TRACE, "id", F.lit(None).cast(f"array<{_STEP}>").alias("path"))
     return done.select(*TRACE, "id", "path").unionByName(stuck)
 

@@ -89,3 +89,12 @@ def test_span_facts(spark):
     got = {r.id: (r.is_error, r.finish_reason, r.has_payload, r.has_details) for r in tree.span_facts(df).collect()}
     assert got == {"a": (True, "stop", False, True), "b": (False, None, False, True), "c": (False, None, True, True),
                    "d": (True, None, False, True), "e": (False, None, False, False)}
+
+
+def test_deep_chain_beside_cycles(spark):
+    chain = [("deep", f"s{i:03d}", f"s{i - 1:03d}" if i else None, i) for i in range(300)]
+    # Cycles, tails below them, and a cycle in the chain's own trace.
+    rings = [("rings", f"{k}-{i}", f"{k}-{(i + 1) % 3}", i) for k in range(20) for i in range(3)]
+    tails = [("rings", f"t{i:02d}", f"t{i - 1:02d}" if i else "0-1", i) for i in range(40)]
+    own = [("deep", "x", "y", 0), ("deep", "y", "x", 1), ("deep", "z", "y", 2)]
+    check(spark, chain + rings + tails + own)
