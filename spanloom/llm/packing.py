@@ -32,7 +32,7 @@ from spanloom.llm.common import raw, slices
 SEQUENCE = 2048  # tokens
 END_ID = 1  # closes each document
 BUCKET = 1024  # pieces ranked in one task
-CACHED_WORDS = 300_000  # per worker
+CACHED_WORDS = 500_000  # per worker
 
 
 # -- tokens ---------------------------------------------------------------------------
@@ -45,6 +45,8 @@ class Tokens:
     tokenizer's model, others through its whole encoder; either result is kept.
     """
 
+    # No token crosses from an ASCII letter to ASCII punctuation, but for an apostrophe.
+    SEAM = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
     PLAIN = re.compile("[\x21-\x7eÀ-ɏ]+")
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed: the vocabulary's own
 
@@ -72,6 +74,8 @@ class Tokens:
         return np.array(ids, "<u4").tobytes()
 
     def text(self, text: bytes) -> bytes:
+        if b"<|" not in text:  # no special token: case is nothing, and words come apart at seams
+            text = self.SEAM.sub(b" ", text.lower())
         return b"".join(map(self.known.__getitem__, text.split()))
 
 

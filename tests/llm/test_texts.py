@@ -335,6 +335,17 @@ def test_tokens_are_those_of_the_tokenizer():
         assert list(np.frombuffer(tokens.text(text.encode()), "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_tokens_of_random_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer, tokens = Tokenizer.from_file(packing.default_vocabulary()), packing.Tokens(packing.default_vocabulary())
+    rng = random.Random(11)
+    bits = [*"abcXYZ019", *"!?.,;:'\"#<=>|_-", " ", " ", "\n", "\t", "é", "É", "ß", "e\u0301", "\u0338", "\u00a0", "\u200d", "漢", "И", "\x1d", "'S", "'ve", "the", "Word"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(30)))
+        assert list(np.frombuffer(tokens.text(text.encode()), "<u4")) == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_histogram_packing():
     rng = random.Random(7)
     for size in (1, 10, 300, 5000):
