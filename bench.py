@@ -14,7 +14,7 @@ from spanloom.plans import catalog  # noqa: E402
 
 HEADLINE = [
     "trace_rollup", "trace_list_all", "trace_list_page", "trace_pages_all", "observation_cost", "trace_fold",
-    "observation_dedupe", "trace_scores", "span_tree_observations", "ingest_events", "spend_by_attribute", "key_attribution",
+    "observation_dedupe", "trace_scores", "span_tree", "span_tree_observations", "ingest_events", "spend_by_attribute", "key_attribution",
 ]
 
 
