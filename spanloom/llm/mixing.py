@@ -98,10 +98,7 @@ def _shard_quotas(cap: int, block: int):
     return run
 
 
-def mix(
-    docs: DataFrame, seed: int = 1, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP,
-    block: int = BLOCK, shard_docs: int = SHARD_DOCS, keep: tuple = ("doc_id",),
-) -> DataFrame:
+def mix(docs: DataFrame, keep: tuple = ("doc_id",), **options) -> DataFrame:
     """One row per row of ``docs``: its columns named in ``keep``, size, source_size, target, taken, passes, pieces.
 
     A text's size is its number of words; null has none. ``passes`` counts how
@@ -109,8 +106,17 @@ def mix(
     taken once more, ``taken`` is the words of both. Sources go by code point, the
     missing one last. Rows that share a doc_id or a text are separate rows of the
     mix; such rows that agree in everything are interchangeable. A source without
-    words has target 0, and so has all in an empty table.
+    words has target 0, and so has all in an empty table. Options are those of
+    ``_chosen``.
     """
+    return _chosen(docs, keep, **options).select(*keep, "size", "source_size", "target", "taken", "passes", "pieces")
+
+
+def _chosen(
+    docs: DataFrame, keep: tuple, seed: int = 1, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP,
+    block: int = BLOCK, shard_docs: int = SHARD_DOCS,
+) -> DataFrame:
+    """The rows with what the mix takes of them, and how its blocks are ranked."""
     def measured(columns: tuple) -> DataFrame:
         place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
         return docs.select(
@@ -140,7 +146,12 @@ def mix(
     laid = dealt.join(session.stage(quotas, "mix-quotas"), ["source_key", "shard"]).withColumn(
         "_at", F.coalesce(F.sum("size").over(line), F.lit(0))
     )
-    return _choose(laid, seed, block).select(*keep, "size", "source_size", "target", "taken", "passes", "pieces")
+    return _choose(laid, seed, block)
+
+
+def _is_chosen(k: Column) -> Column:
+    rank = F.pmod(k * F.pmod(F.col("_step"), F.col("_blocks")) + F.col("_turn"), F.col("_blocks"))
+    return rank < F.col("_rest")
 
 
 def _choose(laid: DataFrame, seed: int, block: int) -> DataFrame:
@@ -155,11 +166,10 @@ def _choose(laid: DataFrame, seed: int, block: int) -> DataFrame:
             "_turn": F.pmod(key, F.col("_blocks")),
         }
     )
-    rank = lambda k: F.pmod(k * F.pmod(F.col("_step"), F.col("_blocks")) + F.col("_turn"), F.col("_blocks"))
     covered = F.when(
         F.col("size") > 0, F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))
     ).otherwise(F.array().cast("array<bigint>"))
-    chosen = F.filter(covered, lambda k: rank(k) < F.col("_rest"))
+    chosen = F.filter(covered, _is_chosen)
     pieces = F.transform(
         chosen,
         lambda k: F.struct(
@@ -181,11 +191,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     docs = docs.drop("size", "source_key", "source_size", "target", "taken", "passes", "pieces", "shard", "shard_words", "quota")
     columns = docs.columns
-    taken = mix(docs, keep=tuple(columns), **options)
+    block = options.get("block", BLOCK)
+    taken = _chosen(docs, tuple(columns), **options)
+    # One pass over the words of a text, each asked for its block.
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice("_words", p["start"].cast("int") + 1, (p["end"] - p["start"]).cast("int")))), " ")
-    whole = taken.filter("passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("passes")))).drop("_copy")
-    part = taken.filter(F.size("pieces") > 0).withColumn("_words", words).withColumn("text", cut)
+    cut = F.array_join(F.filter(words, lambda w, i: _is_chosen(F.floor((F.col("_at") + i) / F.lit(block)))), " ")
+
+    def version(text: Column, chars: Column) -> Column:
+        return F.struct(text.alias("text"), chars.alias("n_chars"))
+
+    counted = F.col("n_chars").cast("bigint") if "n_chars" in columns else F.lit(None).cast("bigint")
+    whole = F.array_repeat(version(F.col("text"), counted), F.col("passes").cast("int"))
+    part = F.transform(F.array(cut), lambda t: version(t, F.length(t).cast("bigint")))
+    every = F.when(F.size("pieces") > 0, F.concat(whole, part)).otherwise(whole)
+    out = taken.withColumn("_version", F.explode(every))
+    given = {"text": F.col("_version.text")}
     if "n_chars" in columns:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.select(*columns).unionByName(part.select(*columns))
+        given["n_chars"] = F.col("_version.n_chars").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[given[c].alias(c) if c in given else c for c in columns])
