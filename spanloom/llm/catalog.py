@@ -94,8 +94,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.drop("text")
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.drop("text", "lang")
 
 
 @query

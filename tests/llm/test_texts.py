@@ -298,6 +298,48 @@ def test_quality_keeps_labelled_clean_documents(spark):
     assert all(r.kept or r.base_failed for r in found if r.doc_id in good)
 
 
+def test_quality_rejects_labelled_junk(spark):
+    """Bands are fitted to odd documents of sf0.1; the even ones and sf0.01 are held out."""
+    for sf in ("sf0.01", "sf0.1"):
+        labels = {r.doc_id: r.quality for r in spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").collect()}
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").filter(F.col("doc_id") % 2 == 0)
+        found = [r for r in quality.judge(docs).drop("text").collect() if r.doc_id in labels]
+        junk, good = ([r for r in found if labels[r.doc_id] == k] for k in (0, 1))
+        assert sum(not r.kept for r in junk) >= 0.95 * len(junk)
+        assert sum(r.kept for r in good) >= 0.999 * sum(not r.base_failed for r in good)
+
+
+def test_bands_are_those_of_clean_labelled_text(spark):
+    sf = "/root/testdata/sf0.1"
+    clean = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1 AND doc_id % 2 = 1").select("doc_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(F.broadcast(clean), "doc_id", "left_semi")
+    of = defaultdict(list)
+    for r in quality.judge(docs).filter("NOT base_failed").select("lang", "text").collect():
+        of[r.lang].append(r.text)
+    fertility = quality.Fertility(quality.default_vocabulary())
+    assert {f"latin/{k}" for k in of} == {k for k in quality.BANDS if "/" in k}
+    for lang, group in of.items():
+        assert quality.fit_band(group, fertility) == quality.BANDS[f"latin/{lang}"]
+
+
+def test_texts_without_a_letter_have_a_strict_band(spark):
+    rng = random.Random(1)
+    data = [(1, " ".join(str(rng.randrange(10**6)) for _ in range(300)), None, None, None), (2, "?! -- " * 30, "en", None, None)]
+    assert not any(r.kept for r in quality.judge(odd.table(spark, data)).collect())
+
+
+def test_one_table_in_a_long_text_does_no_harm(spark):
+    text = (
+        "The committee will meet again on Tuesday to discuss what remains of the plan for the old harbour and its two piers. "
+        "Most people in the town remember how the ships used to come in at night, when the lamps along the wall were lit. "
+        "Nobody could say whether the money would last until spring, though several members had asked for a longer report. "
+        "A second letter arrived from the capital last week and said that the work must wait until the river has been measured."
+    )
+    table = "\n" + "a | b | c | d |\n" * 2
+    rows = quality.judge(odd.table(spark, [(1, text + table, "en", None, None), (2, table * 20, "en", None, None)])).collect()
+    assert {r.doc_id: r.kept for r in rows} == {1: True, 2: False}
+
+
 # -- packing ----------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("bucket", [8192, 2])
