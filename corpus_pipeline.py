@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import session
-from spanloom.llm import lines, mixing, packing, quality, simhash
+from spanloom.llm import lines, mixing, packing, quality, similar, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,6 +37,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs, width=3, max_distance=3)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``near_dedup``, and of what it keeps no two texts that share 80 % of their five-word shingles."""
+    return similar.drop_similar(session.stage(near_dedup(spark, docs, sf_dir), "fingerprint-dedup"))
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as much of them, as the mix takes."""
     return mixing.mixed_documents(docs)
@@ -50,7 +55,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("simhash near-dedup", near_dedup),
+    ("simhash near-dedup", near_copies),
     ("mixing sources", mixing_sources),
     ("packing", pack_sequences),
 ]

@@ -1,0 +1,115 @@
+"""Documents that share most of their word shingles, by bottom sketches and an exact check.
+
+1. Each text's ``KEYS`` smallest shingle hashes are its keys. Two texts of Jaccard
+   similarity s share the smallest hash of both with probability s, so texts at 0.8
+   or more share most of their keys.
+2. Under each key every text is paired with the first and the last text there, never
+   with all of them: k texts give less than 2 k pairs. Both are partial aggregates.
+3. Pairs whose sizes or sketches of ``SKETCH`` hashes exclude the similarity go.
+4. The rest are compared by their whole texts; what passes is linked, and of each
+   component the text with the smallest doc_id stays.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from spanloom.llm import graph
+from spanloom.llm.common import pin, raw, slices
+from spanloom.llm.simhash import shingle_hashes
+
+KEYS = 16
+SKETCH = 64
+SLACK = 0.25  # four standard deviations and more of a sketch's estimate at 0.8
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted hashes of the different shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def _sketches(rows: DataFrame, width: int) -> DataFrame:
+    """node, size and sketch of texts with a word."""
+
+    def run(batches):
+        for batch in slices(batches):
+            found = [shingle_set(t, width) for t in raw(batch, "text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in found], pa.int64()),
+                 pa.array([s[:SKETCH].view(np.int64) for s in found], pa.list_(pa.int64()))],
+                ["doc_id", "mark", "n", "sketch"],
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    made = rows.mapInArrow(run, f"doc_id {kind}, mark bigint, n bigint, sketch array<bigint>")
+    return made.filter("n > 0").select(F.struct("doc_id", "mark").alias("node"), "n", "sketch")
+
+
+def _likely(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs that sizes and sketches do not exclude. Hashes sort as unsigned numbers here."""
+
+    def run(batches):
+        for batch in slices(batches, 4096):
+            keep = []
+            for n, s, m, t in zip(*(batch.column(c).to_pylist() for c in ("n", "sketch", "m", "other"))):
+                a, b = np.array(s, np.int64).view(np.uint64), np.array(t, np.int64).view(np.uint64)
+                union = np.union1d(a, b)[:SKETCH]
+                shared = np.isin(union, a) & np.isin(union, b)
+                keep.append(min(n, m) >= least * max(n, m) and shared.mean() >= least - SLACK)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
+    def run(batches):
+        for batch in slices(batches, 64):
+            keep = [
+                jaccard(shingle_set(x, width), shingle_set(y, width)) >= least
+                for x, y in zip(raw(batch, "text"), raw(batch, "other"))
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def links(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Edges (a, b) of structs (doc_id, mark): texts whose shingles have ``least`` or more in common.
+
+    Every edge is exact. ``mark`` is a hash of the text. Rows without doc_id have no edge.
+    """
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    sketches = pin(_sketches(rows, width).dropDuplicates(["node"]))
+    posted = pin(sketches.select("node", F.explode(F.slice("sketch", 1, KEYS)).alias("key")))
+    ends = posted.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    met = posted.join(pin(ends), "key").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+    pairs = pin(met.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    other = sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+    sized = pin(pairs.join(sketches.select(F.col("node").alias("a"), "n", "sketch"), "a"))
+    likely = pin(_likely(sized.join(other, "b"), least))
+    whole = pin(rows.select(F.struct("doc_id", "mark").alias("node"), "text").join(
+        likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"
+    ).dropDuplicates(["node"]))
+    read = pin(likely.join(whole.withColumnsRenamed({"node": "a"}), "a"))
+    return _similar(read.join(whole.withColumnsRenamed({"node": "b", "text": "other"}), "b"), width, least)
+
+
+def drop_similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """Of documents that links connect, the text with the smallest doc_id stays; rows without doc_id stay.
+
+    Columns are those of ``docs``. A text of fewer words than ``width`` is one
+    shingle; a text without a word is like no other.
+    """
+    gone = graph.components(pin(links(docs, width, least))).filter("node != root")
+    keys = pin(gone.select(F.col("node.doc_id").alias("doc_id"), F.col("node.mark").alias("_mark")))
+    return docs.withColumn("_mark", F.xxhash64("text")).join(keys, ["doc_id", "_mark"], "left_anti").select(*docs.columns)

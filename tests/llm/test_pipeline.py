@@ -1,9 +1,10 @@
 """Each stage on its own input against brute force, and the whole on the small table."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
-from spanloom.llm import mixing, packing, quality, simhash
+from spanloom.llm import mixing, packing, quality, similar, simhash
 from tests.llm import odd
 from tests.llm.test_duplicates import brute_components, brute_fingerprint, brute_lines
 
@@ -36,6 +37,45 @@ def test_near_stage(spark):
     assert Counter(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == wanted
 
 
+def test_near_stage_leaves_no_two_similar_texts(spark):
+    """The stage as registered; ``near_dedup`` is the part of it that the test before this one compares."""
+    rng = random.Random(2)
+    data = odd.rows()
+    for i, words in enumerate((49, 60, 120, 400, 1500)):
+        base = [f"v{rng.randrange(5000)}" for _ in range(words)]
+        for k in range(4):
+            copy = list(base)
+            for at in rng.sample(range(words), k * words // 120):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            data.append((100 + 10 * i + k, " ".join(copy), "en", "s1", 1))
+    sets = {(r[0], r[1]): similar.shingle_set(odd.text_of(r[1]).encode(), 5) for r in data}
+    first = [(r.doc_id, r.text) for r in pipeline.near_dedup(spark, odd.table(spark, data), "").collect()]
+    kept = [(r.doc_id, r.text) for r in dict(pipeline.STAGES)["simhash near-dedup"](spark, odd.table(spark, data), "").collect()]
+
+    def close(rows):
+        rows = sorted({r for r in rows if r[0] is not None}, key=str)
+        return [(a, b) for n, a in enumerate(rows) for b in rows[:n] if similar.jaccard(sets[a], sets[b]) >= 0.8]
+
+    assert len(close(first)) >= 5 and close(kept) == []
+    ids = brute_components(list(range(len(first))), [0] * len(first), -1)
+    for a, b in close([r for r in first if r[0] is not None]):
+        x, y = ids[first.index(a)], ids[first.index(b)]
+        ids = [min(x, y) if c in (x, y) else c for c in ids]
+    groups = {}
+    for row, c in zip(first, ids):
+        groups.setdefault(c, set()).add(row)
+    for rows in groups.values():
+        assert len(rows & set(kept)) == 1 and (min(rows)[0] if len(rows) > 1 else None) in (None, next(iter(rows & set(kept)))[0])
+
+
+def test_similar_pass_takes_hot_keys_without_all_pairs(spark):
+    rng = random.Random(4)
+    shared = " ".join(f"s{n}" for n in range(40))
+    data = [(i, shared + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(i % 3)), "en", "s1", 1) for i in range(200)]
+    assert [r.doc_id for r in similar.drop_similar(odd.table(spark, data)).collect()] == [0]
+    assert similar.links(odd.table(spark, data)).count() < 200 * 2 * similar.KEYS
+
+
 def test_stages_take_nothing(spark):
     for _, stage in pipeline.STAGES:
         assert stage(spark, odd.empty(spark), "").collect() == []
