@@ -235,10 +235,24 @@ def stop_share(text: str) -> float:
 GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
 
 
-def first_pass(block: Block, bounded: bool) -> str:
-    """A block judged by itself: good or bad, near good, or open."""
+def knows_language(found: list[Block]) -> bool:
+    """Whether the text outside links has stop words enough to judge single blocks by them."""
+    text = " ".join(b.text for b in found if b.linked <= MOST_LINKED * len(b.text))
+    return not text or stop_share(text) >= MANY_STOPS  # keywords of code are stop words too
+
+
+def weight(text: str) -> int:
+    """Code points, of scripts that write a word in one or two of them three each."""
+    return len(text) + 2 * sum("\u2e80" <= c <= "\ud7ff" or "\uf900" <= c <= "\ufaff" or c >= "\U00020000" for c in text)
+
+
+def first_pass(block: Block, bounded: bool, known: bool = True) -> str:
+    """A block judged by itself: good or bad, near good, or open; by length and links alone unless ``known``."""
     if block.linked > MOST_LINKED * len(block.text):
         return BAD
+    if not known:
+        size = weight(block.text)
+        return GOOD if size >= LONG else NEAR if size >= SHORT else OPEN
     if len(block.text) < SHORT:
         return OPEN
     share = stop_share(block.text)
@@ -293,7 +307,8 @@ def main_text(page: str) -> str:
         found = [b for b in found if b.inside == 2]
     elif bound == 1:
         found = [b for b in found if b.inside == 1]
-    labels = [first_pass(b, bound > 0) for b in found]
+    known = bound > 0 or knows_language(found)
+    labels = [first_pass(b, bound > 0, known) for b in found]
     return " ".join(b.text for b, keep in zip(found, second_pass(labels, bound > 0)) if keep)
 
 

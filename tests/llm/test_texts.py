@@ -40,6 +40,20 @@ def test_main_text(page, text):
     assert html.main_text(page or "") == text
 
 
+RUSSIAN = "Мы долго шли по узкой дороге, которая вела к старому дому на краю леса. Вечером стало холодно, и дождь не прекращался. " * 2
+CHINESE = "人类社会的发展离不开语言和文字。语言是人们交流思想的工具，文字则记录了历史。古代的学者在竹简上写下他们的见解，后来纸张的发明使知识得以广泛传播。"
+CODE = "for (int i = 0; i < n; i++) { total += rows[i].size(); if (total > limit) throw new Error(total); } " * 3
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, CHINESE, CODE])
+def test_pages_without_known_stop_words_are_judged_by_length_and_links(text):
+    from html import escape
+
+    links = "<ul>" + "".join(f"<li><a href=/{i}>{text[:12]}</a></li>" for i in range(5)) + "</ul>"
+    page = f"<div>{links}</div><div><p>{escape(text)}</p><p>{escape(text)}</p></div><div>{links}</div>"
+    assert html.main_text(page) == f"{text.strip()} {text.strip()}"
+
+
 def test_open_blocks_follow_their_neighbours():
     g, b, n, o = html.GOOD, html.BAD, html.NEAR, html.OPEN
     assert html.second_pass([g, o, o, b, o, b, n, g], False) == [True, True, False, False, False, False, True, True]
