@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,15 @@ def pin(df: DataFrame) -> DataFrame:
     return session.cut_lineage(df)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Written table in the shared folder, for loops.
+
+    A checkpoint keeps the constraints of its plan, and each step of a loop over
+    joins multiplies them until planning takes minutes; a written table has none.
+    """
+    return session.stage(df, "step")
+
+
 def small_or_not(df: DataFrame, rows: int = session.BROADCAST_ROW_BOUND) -> DataFrame:
     """The frame, marked for broadcast only when a count proves it has few rows."""
     return F.broadcast(df) if session.within(df, rows) else df
@@ -45,6 +56,19 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def slices_of_bytes(batches: Iterable[pa.RecordBatch], name: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that their texts hold about ``most`` bytes, or one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(name)), 0), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8; null reads as empty."""
     return [b or b"" for b in batch.column(name).cast(pa.binary()).to_pylist()]
@@ -61,3 +85,11 @@ def extended(schema: T.StructType, added: dict[str, str]) -> T.StructType:
     for name, kind in added.items():
         more.add(name, kind)
     return T.StructType([*schema.fields, *more.fields])
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -11,22 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import pin
+from spanloom.llm.common import settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    least = pin(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+    least = settle(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     spokes = both.filter(F.col("v") > F.col("u")).join(least, "u")
-    return pin(_ordered(spokes.select(F.col("v").alias("a"), F.col("m").alias("b"))))
+    return settle(_ordered(spokes.select(F.col("v").alias("a"), F.col("m").alias("b"))))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = pin(edges.groupBy("a").agg(F.min("b").alias("m")))
+    least = settle(edges.groupBy("a").agg(F.min("b").alias("m")))
     spokes = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return pin(_ordered(spokes.unionByName(least.select("a", F.col("m").alias("b")))))
+    return settle(_ordered(spokes.unionByName(least.select("a", F.col("m").alias("b")))))
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has two columns a and b of one ordered type. Loops and repeats do
     no harm. An empty table gives an empty result.
     """
-    current = pin(_ordered(edges))
+    current = settle(_ordered(edges))
     seen = _digest(current)
     while seen[0]:
         current = _small_star(_large_star(current))
