@@ -15,6 +15,7 @@ from spanloom import session
 
 # White space in texts is ASCII white space everywhere: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
+ROWS_PER_FILE = 1 << 14
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -31,12 +32,16 @@ def pin(df: DataFrame) -> DataFrame:
     return session.cut_lineage(df)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Written table in the shared folder, for loops.
 
     A checkpoint keeps the constraints of its plan, and each step of a loop over
     joins multiplies them until planning takes minutes; a written table has none.
+    Where the rows are known to be at most ``rows``, tasks and files are as many
+    as they need, not as many as shuffles are set to.
     """
+    if rows is not None:
+        df = df.coalesce(min(df.rdd.getNumPartitions(), 1 + rows // ROWS_PER_FILE))
     return session.stage(df, "step")
 
 

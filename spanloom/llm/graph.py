@@ -14,19 +14,19 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import settle
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    least = settle(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+    least = settle(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), 2 * rows)
     spokes = both.filter(F.col("v") > F.col("u")).join(least, "u")
-    return settle(_ordered(spokes.select(F.col("v").alias("a"), F.col("m").alias("b"))))
+    return settle(_ordered(spokes.select(F.col("v").alias("a"), F.col("m").alias("b"))), rows)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = settle(edges.groupBy("a").agg(F.min("b").alias("m")))
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
+    least = settle(edges.groupBy("a").agg(F.min("b").alias("m")), rows)
     spokes = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return settle(_ordered(spokes.unionByName(least.select("a", F.col("m").alias("b")))))
+    return settle(_ordered(spokes.unionByName(least.select("a", F.col("m").alias("b")))), rows)
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -38,9 +38,13 @@ def _ordered(edges: DataFrame) -> DataFrame:
     )
 
 
-def _digest(edges: DataFrame) -> tuple:
-    total = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))
-    return tuple(edges.agg(F.count("*"), total).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Every node hangs on one root, which hangs on nothing."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
+    )
+    sums = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return sums.filter("hangs > 1 OR hangs = 1 AND holds = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -50,12 +54,10 @@ def components(edges: DataFrame) -> DataFrame:
     no harm. An empty table gives an empty result.
     """
     current = settle(_ordered(edges))
-    seen = _digest(current)
-    while seen[0]:
-        current = _small_star(_large_star(current))
-        now = _digest(current)
-        if now == seen:
-            break
-        seen = now
+    rows = current.count()
+    while rows and not _are_stars(current):
+        # A small star keeps at most one edge more per node than it is given.
+        current = _small_star(_large_star(current, rows), 2 * rows)
+        rows = current.count()
     nodes = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
