@@ -8,7 +8,6 @@ number of windows of labelled documents; it then labels every byte of every text
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
@@ -18,18 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import extended, slices, small_or_not, texts
+from spanloom.llm.quality import has_letter
 
 HIDDEN = 8
 WINDOW = 128  # bytes read at once when labelling
 TRAIN_WINDOW = 64
 DOCS_PER_LABEL = 400  # bound on the training documents of a label
-WINDOWS_PER_DOC = 8
 STEPS = 240
 BATCH = 192
 LANES = 4096  # windows that run side by side
 PAD = 256
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Network(NamedTuple):
@@ -169,9 +167,8 @@ def training_windows(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> p
             langs, out = [], []
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch, "text")):
                 s = symbols(text)
-                if _LETTER.search(text):
-                    starts = np.linspace(0, max(0, len(s) - TRAIN_WINDOW), WINDOWS_PER_DOC).astype(int)
-                    for at in np.unique(starts):
+                if has_letter(text):
+                    for at in range(0, len(s), TRAIN_WINDOW):
                         langs.append(lang)
                         out.append(s[at : at + TRAIN_WINDOW].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "window"])
@@ -250,7 +247,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
             if net is not None:
                 pool, size = Pool(net, len(read)), np.zeros(len(read))
                 for i, text in enumerate(read):
-                    if _LETTER.search(text):
+                    if has_letter(text):
                         s = symbols(text)
                         size[i] = len(s)
                         pool.add(i, s)

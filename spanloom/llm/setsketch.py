@@ -407,4 +407,6 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) ->
     made = settle(sketches(docs, width))
     moved = made.filter("n > 0").join(_classes(docs, made, width, least), "mark").filter("doc_id != component_id")
     gone = settle(moved.select("doc_id", F.col("mark").alias(mark)).distinct())
-    return marked(docs, width, mark).join(gone, ["doc_id", mark], "left_anti").select(*docs.columns)
+    ids = small_or_not(gone.select("doc_id").distinct())
+    stay = marked(docs.join(ids, "doc_id", "left_semi").select(*docs.columns), width, mark).join(gone, ["doc_id", mark], "left_anti")
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(stay.select(*docs.columns))

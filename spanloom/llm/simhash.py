@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import graph
-from spanloom.llm.common import pin, raw, slices
+from spanloom.llm.common import extended, pin, raw, slices, small_or_not, unused
 
 SHARD_POINTS = 16_384  # points a shard should hold before more tasks than cores would be busy
 FULL_SHARD = 1 << 20  # points a shard may hold then; each further cut sends more points twice
@@ -284,8 +284,21 @@ def hex_fingerprint(fp) -> F.Column:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, max_distance: int = 3) -> DataFrame:
     """The documents that stay: of each component the rows whose doc_id names it.
 
-    Columns are those of ``docs``. Rows without a doc_id can't be named and stay.
+    Columns are those of ``docs``, whatever their names. Rows without a doc_id can't
+    be named and stay. A doc_id that occurs with different texts is judged by fingerprint.
     """
+    key = unused("fp", docs.columns)
+    names = docs.columns
+
+    def run(batches):
+        for batch in slices(batches):
+            marks = np.fromiter((fingerprint(t, width) for t in raw(batch, "text")), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks.view(np.int64))], [*names, key])
+
     found = near_duplicates(docs, width, max_distance)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = pin(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("fp").alias(key)).distinct())
+    # Most fingerprints have no other of their own; only rows of an id that goes are read again.
+    ids = small_or_not(gone.select("doc_id").distinct())
+    marked = docs.join(ids, "doc_id", "left_semi").select(*names).mapInArrow(run, extended(docs.schema, {key: "long"}))
+    stay = marked.join(gone, ["doc_id", key], "left_anti").select(*names)
+    return docs.join(ids, "doc_id", "left_anti").select(*names).unionByName(stay)
