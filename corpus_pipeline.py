@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import session
-from spanloom.llm import lines, mixing, packing, quality, similar, simhash
+from spanloom.llm import lines, mixing, packing, quality, setsketch, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``near_dedup``, and of what it keeps no two texts that share 80 % of their five-word shingles."""
-    return similar.drop_similar(session.stage(near_dedup(spark, docs, sf_dir), "fingerprint-dedup"))
+    return setsketch.drop_near_duplicates(session.stage(near_dedup(spark, docs, sf_dir), "fingerprint-dedup"), width=5, least=0.8)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
