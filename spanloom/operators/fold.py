@@ -9,8 +9,9 @@ agree, and a hot trace shrinks to one row per map task before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom import model
 
@@ -108,6 +109,13 @@ def fold_inputs(traces: DataFrame, observations: DataFrame) -> DataFrame:
     return _events(real_events(traces)).unionByName(_events(windows))
 
 
+def empty_events(spark: SparkSession) -> DataFrame:
+    """Fold input without a row."""
+    head = T.StructType.fromDDL("received_at timestamp, batch_id string, ordinal bigint")
+    own = [f for f in model.TRACES.fields if f.name not in ("created_at", "updated_at")]
+    return _events(real_events(spark.createDataFrame([], T.StructType([*head.fields, *own]))))
+
+
 def state_events(state: DataFrame) -> DataFrame:
     """Folded traces as input of a later fold."""
     return state.select(*_EVENT)

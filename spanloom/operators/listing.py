@@ -21,6 +21,7 @@ LIST_COLUMNS = [
     "observations_started_min", "observations_started_max",
 ]
 _SUMS = ["prompt_tokens", "completion_tokens", "total_tokens", "latency_ms"]
+MOST_DAYS = 100_000  # calendar days of 270 years
 ROLLUP_COLUMNS = [
     "observation_count", "prompt_tokens", "completion_tokens", "total_tokens", "total_cost_usd",
     "total_latency_ms",
@@ -142,17 +143,23 @@ def bounded_scan(observations: DataFrame, lo: datetime, hi: datetime) -> DataFra
 
 
 def observations_of(traces: DataFrame, observations: DataFrame) -> DataFrame:
-    """Observations of many traces, pruned to the days in which those traces have any.
+    """Observations of many traces, read from the days in which those traces have any.
 
-    The days become equality keys because only those prune partitions at run time.
+    The days of all traces are few, one per calendar day at most, and prune the stored
+    day folders at run time before a row of them is read; the join by trace follows.
+    The two bounds of a window are compared in the scan of the traces, which is also what
+    tells the optimiser that pruning pays.
     """
     lo, hi = F.col("observations_started_min"), F.col("observations_started_max")
-    days = traces.filter(lo.isNotNull() & hi.isNotNull()).select(
+    windows = traces.filter(lo <= hi).select(
         "project_id", F.col("id").alias("trace_id"), lo.alias("_lo"), hi.alias("_hi"),
         F.explode(F.sequence(lo.cast("date"), hi.cast("date"))).alias("started_date"),
     )
+    days = windows.select("started_date").distinct()
+    if session.within(days, MOST_DAYS):
+        observations = observations.join(F.broadcast(days), "started_date", "left_semi")
     return (
-        observations.join(days, ["project_id", "trace_id", "started_date"])
+        observations.join(windows, ["project_id", "trace_id", "started_date"])
         .filter(F.col("started_at").between(F.col("_lo"), F.col("_hi")))
         .drop("_lo", "_hi")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spanloom import model, session
 from spanloom.functions import display
 from spanloom.operators import listing
+from spanloom.operators.ranking import number_rows
 
 
 def placement(projects: DataFrame, traces: DataFrame, observations: DataFrame) -> DataFrame:
@@ -114,6 +115,16 @@ def sessions(traces_with_rollup: DataFrame) -> DataFrame:
     )
 
 
+def session_traces(traces_with_rollup: DataFrame) -> DataFrame:
+    """The traces of each conversation with their position, oldest first.
+
+    A session may hold most of the rows, so positions come from range partitions, not from a window over it.
+    """
+    inside = traces_with_rollup.filter(F.col("session_id").isNotNull())
+    order = [F.col("started_at").asc(), F.col("id").asc()]
+    return number_rows(inside, ["project_id", "session_id"], order, "position")
+
+
 def trace_display(traces_with_rollup: DataFrame, as_of: Column) -> DataFrame:
     """The texts a list row shows."""
     return traces_with_rollup.select(

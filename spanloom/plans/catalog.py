@@ -18,7 +18,7 @@ from spanloom.operators import (
     admit, detail, fold, listing, maintenance, normalize, pricing, reports, tenancy, tree,
 )
 from spanloom.plans.fixtures import Fixtures, _sql, with_views
-from spanloom.sources import tables
+from spanloom.sources import tables, trace_store
 from spanloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,8 +167,11 @@ def tenant_windows(fx: Fixtures) -> DataFrame:
 
 @query("SELECT project_id, trace_id, id, strftime(started_at, '%Y-%m-%d') AS started_date FROM fx_observations")
 def bounded_observations(fx: Fixtures) -> DataFrame:
-    obs = fx.observations(with_model=False).withColumn("started_date", F.to_date("started_at"))
-    found = listing.observations_of(fx.windowed_traces(obs), obs)
+    """The observations of all traces, from files stored by day."""
+    obs = fx.observations(with_model=False)
+    stored = session.scratch_path(fx.spark, "days")
+    tables.append_days(obs, stored)
+    found = listing.observations_of(fx.windowed_traces(obs), fx.spark.read.parquet(stored))
     return found.select("project_id", "trace_id", "id", F.col("started_date").cast("string").alias("started_date"))
 
 
@@ -963,7 +966,7 @@ def stream_ingest(fx: Fixtures) -> DataFrame:
     return _ingested(fx, layout)
 
 
-def _raw_events(events: DataFrame) -> DataFrame:
+def _raw_events(events: DataFrame, *more: str) -> DataFrame:
     doc = F.struct(
         F.expr(TRACE_ID_OF_EVENT).alias("id"), F.col("event_type").alias("type"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("start_time"), F.col("value").alias("latency_ms"),
@@ -972,7 +975,7 @@ def _raw_events(events: DataFrame) -> DataFrame:
         F.concat(F.lit("e"), "event_id").alias("batch_id"),
         (F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 MINUTE")).alias("received_at"),
         F.lit("p0").alias("project_id"),
-        F.to_json(F.struct(F.array(doc, doc).alias("events"))).alias("body"),
+        F.to_json(F.struct(F.array(doc, doc).alias("events"))).alias("body"), *more,
     )
 
 
@@ -1030,6 +1033,70 @@ def stream_rejects(fx: Fixtures) -> DataFrame:
     )
 
 
+@query()
+def stream_merge(fx: Fixtures) -> DataFrame:
+    """Deliveries in four epochs that overlap in time, merged into stored buckets; equals trace_fold and folds nothing when read."""
+    root = session.scratch_path(fx.spark, "merge")
+    events = fold.fold_inputs(fx.trace_deliveries(), fx.observation_deliveries())
+    part = F.pmod(F.xxhash64("batch_id"), F.lit(4))
+    for n in range(4):
+        events.filter(part == n).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    arriving = fx.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    ingest.start_merge(arriving, f"{root}/traces", f"{root}/state", available_now=True, buckets=16).awaitTermination()
+    return _folded_columns(trace_store.read_traces(fx.spark, f"{root}/traces"))
+
+
+ORACLES["stream_merge"] = ORACLES["trace_fold"]
+
+
+@query(_sql("""SELECT $trace[event_id] AS id, 'stored' AS kind FROM events WHERE event_id % 2 = 0
+    UNION ALL SELECT 'e' || event_id, 'denied' FROM events WHERE event_id % 2 = 1"""))
+def stream_replay(fx: Fixtures) -> DataFrame:
+    """An epoch written twice, with a key revoked in between: nothing of the first attempt stays."""
+    layout = ingest.Layout.under(session.scratch_path(fx.spark, "replay"))
+    key = F.when(F.col("event_id") % 2 == 0, "key-2").otherwise("key-3")
+    events = fx.table("events").withColumn("api_key", key)
+    raw = _raw_events(events, "api_key").drop("project_id")
+    keys = fx.keys().withColumn("revoked_at", F.lit(None).cast("timestamp"))
+    ingest.write_epoch(raw, 0, layout, fx.prices(), keys)
+    revoked = F.when(F.col("key_prefix") == "key-3", F.lit("1990-01-01").cast("timestamp"))
+    ingest.write_epoch(raw, 0, layout, fx.prices(), keys.withColumn("revoked_at", revoked))
+    read = fx.spark.read.parquet
+    return read(layout.observations).select("id", F.lit("stored").alias("kind")).unionByName(
+        read(layout.refusals).select(F.col("batch_id").alias("id"), F.lit("denied").alias("kind"))
+    )
+
+
+@query(_sql(f"""WITH sent AS (SELECT *, {_SEQ} AS seq FROM fx_trace_deliveries),
+    real AS (SELECT project_id, id, arg_max(started_at, seq) AS started_at FROM sent GROUP BY project_id, id),
+    windows AS (SELECT project_id, trace_id AS id,
+        arg_min(lo, strftime(received_at, '%Y-%m-%d %H:%M:%S.%f') || '|' || batch_id) AS stub_start
+      FROM fx_batch_windows GROUP BY project_id, trace_id)
+    SELECT project_id, id, 'created' AS change, CAST(NULL AS varchar) AS started_before,
+        strftime(stub_start, '%Y-%m-%d %H:%M:%S.%f') AS started_after FROM windows
+    UNION ALL SELECT project_id, id, CASE WHEN w.id IS NULL THEN 'created' ELSE 'arrived' END,
+        strftime(stub_start, '%Y-%m-%d %H:%M:%S.%f'), strftime(started_at, '%Y-%m-%d %H:%M:%S.%f')
+    FROM real r LEFT JOIN windows w USING (project_id, id)"""))
+def stream_late_traces(fx: Fixtures) -> DataFrame:
+    """Spans two epochs before their traces: the stubs that appear, and the traces that take their place."""
+    path = session.scratch_path(fx.spark, "late")
+    spans = session.stage(fold.fold_inputs(fx.trace_deliveries().limit(0), fx.observation_deliveries()), "late-spans")
+    traces = fold.fold_inputs(fx.trace_deliveries(), fx.observation_deliveries().limit(0))
+    for epoch, events in enumerate((spans, spans, traces)):
+        trace_store.merge_epoch(events, path, epoch, buckets=16)
+    return trace_store.read_changes(fx.spark, path).select(
+        "project_id", "id", "change", ts("started_before"), ts("started_after")
+    )
+
+
+@query("""SELECT project_id, session_id, id, strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at,
+        row_number() OVER (PARTITION BY project_id, session_id ORDER BY fx_listed.started_at, id) AS position, total_tokens
+    FROM fx_listed WHERE session_id IS NOT NULL""")
+def session_traces(fx: Fixtures) -> DataFrame:
+    found = reports.session_traces(listing.list_all(fx.traces(), fx.priced()))
+    return found.select("project_id", "session_id", "id", ts("started_at"), "position", "total_tokens")
+
+
 # --- Reports ------------------------------------------------------------------
 @query(f"""SELECT p.name AS project_name, t.name AS trace_name, t.id AS trace_id, o.id AS observation_id, {_ts('o.started_at')},
            'p' || strftime(o.started_at, '%Y%m%d') AS partition

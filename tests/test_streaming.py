@@ -94,3 +94,20 @@ def test_dedupe_stream_keeps_one(spark, tmp_path):
     out = str(tmp_path / "out")
     ingest.start_dedupe(stream, out, str(tmp_path / "ck"), available_now=True).awaitTermination()
     assert spark.read.parquet(out).count() == 40
+
+
+def test_an_epoch_written_again_leaves_nothing_behind(spark, tmp_path):
+    """The second attempt has rows on fewer days, then none at all; another epoch and stream stay."""
+    path = str(tmp_path / "obs")
+    schema = "project_id string, id string, started_at timestamp, received_at timestamp, batch_id string, ordinal bigint"
+    when = NOW.replace(tzinfo=None)
+    two = spark.createDataFrame([("p", str(i), when + timedelta(days=i), when, "b", i) for i in range(2)], schema)
+    other = spark.createDataFrame([("p", "9", when, when, "b", 0)], schema)
+    for n, (df, epoch, stream) in enumerate(((two, 0, "a=b/*"), (other, 1, "a=b/*"), (two.filter("id = '1'"), 0, "a=b/*"))):
+        tables.append_observations(df, path, epoch, stream)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["1", "9"]
+    tables.append_observations(two.limit(0), path, 0, "a=b/*")
+    assert [r.id for r in spark.read.parquet(path).collect()] == ["9"]
+    tables.append_rows(two, str(tmp_path / "rows"), 0)
+    tables.append_rows(two.filter("id = '1'"), str(tmp_path / "rows"), 0)
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "rows")).collect()] == ["1"]
