@@ -11,7 +11,8 @@
    their registers, in blocks of bounded size. The counts of greater, smaller and
    equal registers and the known set sizes give the likelihood of each similarity;
    where its maximum may reach the threshold the pair goes on: in the second round
-   each point's best partner of a block, in the third all that is left.
+   each point's best partner of a block. In the third round all that is left is compared
+   where it meets, by hashes of the whole sets, and only links leave the task.
 5. A pair links only after its whole sets are compared, shingle by shingle.
 
 A pair at 0.8 shares no band with probability 5e-6; only then can it be missed.
@@ -37,6 +38,7 @@ ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
 SLACK = 0.11  # over four standard deviations of the estimate at 0.8
 BLOCK = 512  # points of a band compared in one piece
+BLOCK_BYTES = 1 << 24  # set elements of a band compared in one piece
 PIECE = 256  # set elements hashed at once
 
 
@@ -170,16 +172,16 @@ def marked(docs: DataFrame, width: int, mark: str = "mark") -> DataFrame:
 
 
 def _posted(points: DataFrame) -> DataFrame:
-    """(key, node) of every band."""
+    """(key, node, n) of every band."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 keys = band_keys(_unpacked(batch.column("regs")))
-                nodes = np.repeat(batch.column("node").to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["key", "node"])
+                nodes, sizes = (np.repeat(batch.column(c).to_numpy(), BANDS) for c in ("node", "n"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes), pa.array(sizes)], ["key", "node", "n"])
 
-    return points.select("node", "regs").mapInArrow(run, "key bigint, node bigint")
+    return points.select("node", "n", "regs").mapInArrow(run, "key bigint, node bigint, n bigint")
 
 
 # -- pairs ---------------------------------------------------------------------------------------
@@ -233,35 +235,39 @@ def _star_pairs(posted: DataFrame, ends: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _cross_pairs(shared: DataFrame, roots: DataFrame, points: DataFrame, least: float, best_only: bool) -> DataFrame:
+def _cross_pairs(shared: DataFrame, roots: DataFrame, points: DataFrame, least: float, sets: DataFrame | None = None) -> DataFrame:
     """Likely pairs of points that share a band and belong to different components.
 
     Bands with the same points are looked at once. A band of more than ``BLOCK``
-    points is cut by hash; a task compares two blocks, and holds no more than those.
-    With ``best_only`` a point of a large band hands on its best partner of a block.
+    points, or of more bytes than ``BLOCK_BYTES``, is cut by hash; a task compares two
+    blocks, and holds no more than those. Without ``sets`` a point of a large band hands
+    on its best partner of a block. With them all likely pairs are compared on the spot and
+    only what links two components is handed on, never the pairs that fail.
     """
     labelled = shared.join(small_or_not(roots), "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root")
+        "key", "node", "n", F.coalesce("root", "node").alias("root")
     )
     total = F.sum(F.xxhash64("node").cast("decimal(20,0)"))
     open_bands = (
-        labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), total.alias("sum"))
-        .filter("lo < hi").groupBy("k", "sum").agg(F.min("key").alias("key"))
+        labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("n"), total.alias("sum"))
+        .filter("lo < hi").groupBy("k", "n", "sum").agg(F.min("key").alias("key")).withColumnRenamed("n", "elements")
     )
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("elements") * 8 / BLOCK_BYTES)).cast("int")
     members = labelled.join(small_or_not(settle(open_bands)), "key").withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     )
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = members.withColumn("other", F.explode(others)).select(
-        "key", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "key", "node", "n", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    filled = dealt.join(points.select("node", "n", "regs"), "node")
+    filled = dealt.join(points.select("node", "regs"), "node")
+    if sets is not None:
+        filled = filled.join(sets, "node")
 
     def run(batches):
         held = None
         parts: list[pa.RecordBatch] = []
-        found = Waiting(least, best_only)
+        found = Waiting(least)
         for batch in batches:
             keys = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
             cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if batch.num_rows else []
@@ -279,11 +285,33 @@ def _cross_pairs(shared: DataFrame, roots: DataFrame, points: DataFrame, least:
     return met.distinct()
 
 
+def elements(column: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(column.as_py(), np.uint64)
+
+
+def top_of(joined: dict[int, int], root: int) -> int:
+    """The component that a root has become part of."""
+    while root in joined:
+        root = joined[root]
+    return root
+
+
+def _hashed_sets(texts: DataFrame, width: int) -> DataFrame:
+    """node and set, the 64-bit hashes of its elements."""
+
+    def run(batches):
+        for batch in slices_of_bytes(batches, "text"):
+            sets = [np.unique(_hashes(shingles(t, width))[:, 0]).tobytes() for t in raw(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, set binary")
+
+
 class Waiting:
-    """Likely pairs of groups of points. Those of small groups are estimated together."""
+    """Pairs of groups of points, gathered group by group. Those of small groups are estimated together."""
 
-    def __init__(self, least: float, best_only: bool):
-        self.least, self.best_only = least, best_only
+    def __init__(self, least: float):
+        self.least = least
         self.held: list[tuple] = []
         self.size = 0
         self.done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -296,6 +324,8 @@ class Waiting:
         regs = _unpacked(rows.column("regs"))
         left, right = np.flatnonzero(block == rows.column("i")[0].as_py()), np.flatnonzero(block == rows.column("j")[0].as_py())
         inner = rows.column("i")[0] == rows.column("j")[0]
+        sets = rows.column("set") if "set" in rows.column_names else None
+        joined: dict[int, int] = {}
         top = np.full(len(node), -1)
         partner = np.full(len(node), -1)
         small = len(left) * len(right) <= 256
@@ -304,13 +334,18 @@ class Waiting:
             q = q[node[q] > node[p]] if inner else q
             if not len(q):
                 continue
-            if small:
+            if small and sets is None:
                 self.held.append((node[p], np.full(len(q), n[p]), np.broadcast_to(regs[p], (len(q), REGISTERS)), node[q], n[q], regs[q]))
                 self.size += len(q)
                 continue
             likely = equal_registers(np.broadcast_to(regs[p], (len(q), REGISTERS)), np.full(len(q), n[p]), regs[q], n[q], self.least)
-            if not self.best_only:
-                self._keep(np.full((likely >= 0).sum(), node[p]), node[q[likely >= 0]])
+            if sets is not None:
+                own = elements(sets[int(p)])
+                for k in np.argsort(-likely, kind="stable")[: (likely >= 0).sum()]:
+                    x, y = top_of(joined, root[p]), top_of(joined, root[q[k]])
+                    if x != y and self._link(own, elements(sets[int(q[k])])):
+                        joined[max(x, y)] = min(x, y)
+                        self._keep(node[p : p + 1], node[q[k] : q[k] + 1])
                 continue
             k = np.argmax(likely)
             if likely[k] > top[p]:
@@ -320,6 +355,10 @@ class Waiting:
         sure = np.flatnonzero(partner >= 0)
         self._keep(node[sure], node[partner[sure]])
 
+    def _link(self, a: np.ndarray, b: np.ndarray) -> bool:
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * common >= round(100 * self.least) * (len(a) + len(b) - common)
+
     def _keep(self, a: np.ndarray, b: np.ndarray) -> None:
         if len(a):
             self.done.append((np.minimum(a, b), np.maximum(a, b)))
@@ -358,8 +397,8 @@ def _connected(rows: DataFrame, made: DataFrame, width: int, least: float) -> tu
     texts = settle(marked(named, width).join(busy, ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"]))
     edges = settle(_verified(tested, texts, width, least))
     roots = settle(graph.components(edges))
-    for best_only in (True, False):
-        cross = settle(_cross_pairs(shared, roots, points, least, best_only).join(tested, ["a", "b"], "left_anti"))
+    for sets in (None, settle(_hashed_sets(texts, width))):
+        cross = settle(_cross_pairs(shared, roots, points, least, sets).join(tested, ["a", "b"], "left_anti"))
         found = settle(_verified(cross, texts, width, least))
         tested = tested.unionByName(cross)
         if not found.isEmpty():
