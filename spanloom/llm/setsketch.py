@@ -7,21 +7,19 @@
    agrees in a band of ``ROWS`` with probability s ** ROWS and a bit more.
 3. First round: each point meets the least and the greatest point it shares a band
    with, so k copies of one text give less than 2 k pairs.
-4. Next rounds: points that share a band but are not connected yet are compared by
-   their registers, in blocks of bounded size. The counts of greater, smaller and
-   equal registers and the known set sizes give the likelihood of each similarity;
-   where its maximum may reach the threshold the pair goes on: in the second round
-   each point's best partner of a block. In the third round all that is left is compared
-   where it meets, by hashes of the whole sets, and only links leave the task.
-5. A pair links only after its whole sets are compared, shingle by shingle.
+   The counts of greater, smaller and equal registers and the known set sizes give the
+   likelihood of each similarity; where its maximum may reach the threshold the pair's
+   whole sets are compared, shingle by shingle.
+4. Second round: points that share a band but are not connected yet are compared by
+   their whole sets, as 64-bit hashes, in blocks of bounded size, where products of
+   matrices count what all pairs of two blocks have in common. Only links leave the
+   task, never the pairs that fail.
 
 A pair at 0.8 shares no band with probability 5e-6; only then can it be missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,6 +36,7 @@ ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
 SLACK = 0.11  # over four standard deviations of the estimate at 0.8
 BLOCK = 512  # points of a band compared in one piece
+COLUMNS = 4096  # elements counted by one product of matrices
 BLOCK_BYTES = 1 << 24  # set elements of a band compared in one piece
 PIECE = 256  # set elements hashed at once
 
@@ -235,54 +234,127 @@ def _star_pairs(posted: DataFrame, ends: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _cross_pairs(shared: DataFrame, roots: DataFrame, points: DataFrame, least: float, sets: DataFrame | None = None) -> DataFrame:
-    """Likely pairs of points that share a band and belong to different components.
+def _cross_links(shared: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between different components of points that share a band.
 
-    Bands with the same points are looked at once. A band of more than ``BLOCK``
+    Bands with the same points are looked at once. Points of the component that holds
+    most of a band are connected already, so they meet only the band's other points: s
+    others among k points take s * k comparisons at most, not k * k. A band of more than ``BLOCK``
     points, or of more bytes than ``BLOCK_BYTES``, is cut by hash; a task compares two
-    blocks, and holds no more than those. Without ``sets`` a point of a large band hands
-    on its best partner of a block. With them all likely pairs are compared on the spot and
-    only what links two components is handed on, never the pairs that fail.
+    blocks, and holds no more than those.
     """
     labelled = shared.join(small_or_not(roots), "node", "left").select(
         "key", "node", "n", F.coalesce("root", "node").alias("root")
     )
     total = F.sum(F.xxhash64("node").cast("decimal(20,0)"))
-    open_bands = (
-        labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.sum("n").alias("n"), total.alias("sum"))
-        .filter("lo < hi").groupBy("k", "n", "sum").agg(F.min("key").alias("key")).withColumnRenamed("n", "elements")
+    held = labelled.groupBy("key", "root").agg(F.count("*").alias("k"), F.sum("n").alias("n"), total.alias("sum"))
+    bands = (
+        held.groupBy("key")
+        .agg(
+            F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.count("*").alias("parts"),
+            F.max(F.struct("k", "n", "root")).alias("main"),
+        )
+        .filter("parts > 1").groupBy("k", "n", "sum").agg(F.min_by(F.struct("key", "main"), "key").alias("of"))
+        .select("of.key", "of.main", "k", F.col("n").alias("elements"))
+    )
+
+    def cut(points, elements):
+        return F.ceil(F.greatest(points / BLOCK, elements * 8 / BLOCK_BYTES)).cast("int")
+
+    whole = cut(F.col("k"), F.col("elements")) <= 1
+    bands = bands.select(
+        "key",
+        F.col("main.root").alias("main"),
+        F.when(whole, 0).otherwise(cut(F.col("main.k"), F.col("main.n"))).alias("main_blocks"),
+        F.when(whole, 1).otherwise(cut(F.col("k") - F.col("main.k"), F.col("elements") - F.col("main.n"))).alias("blocks"),
     )
-    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("elements") * 8 / BLOCK_BYTES)).cast("int")
-    members = labelled.join(small_or_not(settle(open_bands)), "key").withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    mixed = F.xxhash64("node")
+    inside = (F.col("root") == F.col("main")) & (F.col("main_blocks") > 0)
+    members = labelled.join(small_or_not(settle(bands)), "key").withColumn(
+        "block", F.when(inside, F.col("blocks") + F.pmod(mixed, F.col("main_blocks"))).otherwise(F.pmod(mixed, F.col("blocks"))).cast("int")
     )
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    others = F.sequence(F.lit(0), F.when(inside, F.col("blocks")).otherwise(F.col("blocks") + F.col("main_blocks")) - 1)
     dealt = members.withColumn("other", F.explode(others)).select(
-        "key", "node", "n", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "key", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    filled = dealt.join(points.select("node", "regs"), "node")
-    if sets is not None:
-        filled = filled.join(sets, "node")
 
     def run(batches):
         held = None
         parts: list[pa.RecordBatch] = []
-        found = Waiting(least)
         for batch in batches:
             keys = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
             cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if batch.num_rows else []
+            found = []
             for at, upto in zip([0, *cuts], [*cuts, batch.num_rows]):
                 now = tuple(int(k[at]) for k in keys) if upto else held
                 if now != held:
-                    found.add(parts)
+                    found += links(parts, held, least)
                     held, parts = now, []
                 parts.append(batch.slice(at, upto - at))
-            yield from found.handed()
-        found.add(parts)
-        yield from found.handed(True)
-
-    met = filled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
-    return met.distinct()
+            yield _edges(found)
+        yield _edges(links(parts, held, least))
+
+    filled = dealt.join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return filled.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def links(parts: list[pa.RecordBatch], group: tuple[int, int, int] | None, least: float) -> list[tuple[int, int]]:
+    """Pairs of one group, of blocks i and j, whose sets reach the threshold; none between components joined by an earlier pair."""
+    if sum(p.num_rows for p in parts) < 2:
+        return []
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    node, root, block = (rows.column(c).to_numpy() for c in ("node", "root", "block"))
+    _, i, j = group
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if not len(left) or not len(right) or root.min() == root.max():
+        return []
+    sets = [elements(s) for s in rows.column("set")]
+    n = np.array([len(s) for s in sets])
+    both = in_common([sets[p] for p in left], [sets[q] for q in right])
+    near = 100 * both >= round(100 * least) * (n[left][:, None] + n[right] - both)
+    near &= root[left][:, None] != root[right]
+    joined: dict[int, int] = {}
+    out = []
+    for p, hits in zip(left[near.any(axis=1)], near[near.any(axis=1)]):
+        hit = right[hits]
+        for q in hit[np.unique(root[hit], return_index=True)[1]]:
+            x, y = top_of(joined, int(root[p])), top_of(joined, int(root[q]))
+            if x != y:
+                joined[max(x, y)] = min(x, y)
+                out.append((int(min(node[p], node[q])), int(max(node[p], node[q]))))
+    return out
+
+
+def in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of the first list has in common with each of the second.
+
+    Elements are numbered; of each ``COLUMNS`` numbers that both sides hold, a product of two 0-1 matrices counts all pairs at once.
+    """
+    sides = [np.concatenate(s) for s in (left, right)]
+    shared = np.intersect1d(*sides)
+    count = np.zeros((len(left), len(right)))
+    entries = []
+    for sets, flat in zip((left, right), sides):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(shared, flat)
+        own = at < len(shared)
+        own[own] = shared[at[own]] == flat[own]
+        order = np.argsort(at[own], kind="stable")
+        entries.append((row[own][order], at[own][order]))
+    for begin in range(0, len(shared), COLUMNS):
+        ones = []
+        for sets, (row, at) in zip((left, right), entries):
+            lo, hi = np.searchsorted(at, [begin, begin + COLUMNS])
+            matrix = np.zeros((len(sets), min(COLUMNS, len(shared) - begin)), np.float32)
+            matrix[row[lo:hi], at[lo:hi] - begin] = 1
+            ones.append(matrix)
+        count += ones[0] @ ones[1].T
+    return count
 
 
 def elements(column: pa.Scalar) -> np.ndarray:
@@ -307,79 +379,6 @@ def _hashed_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, set binary")
 
 
-class Waiting:
-    """Pairs of groups of points, gathered group by group. Those of small groups are estimated together."""
-
-    def __init__(self, least: float):
-        self.least = least
-        self.held: list[tuple] = []
-        self.size = 0
-        self.done: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, parts: list[pa.RecordBatch]) -> None:
-        if sum(p.num_rows for p in parts) < 2:
-            return
-        rows = pa.Table.from_batches(parts).combine_chunks()
-        node, root, n, block = (rows.column(c).to_numpy() for c in ("node", "root", "n", "block"))
-        regs = _unpacked(rows.column("regs"))
-        left, right = np.flatnonzero(block == rows.column("i")[0].as_py()), np.flatnonzero(block == rows.column("j")[0].as_py())
-        inner = rows.column("i")[0] == rows.column("j")[0]
-        sets = rows.column("set") if "set" in rows.column_names else None
-        joined: dict[int, int] = {}
-        top = np.full(len(node), -1)
-        partner = np.full(len(node), -1)
-        small = len(left) * len(right) <= 256
-        for p in left:
-            q = right[(root[right] != root[p]) & (np.minimum(n[right], n[p]) >= self.least * np.maximum(n[right], n[p]))]
-            q = q[node[q] > node[p]] if inner else q
-            if not len(q):
-                continue
-            if small and sets is None:
-                self.held.append((node[p], np.full(len(q), n[p]), np.broadcast_to(regs[p], (len(q), REGISTERS)), node[q], n[q], regs[q]))
-                self.size += len(q)
-                continue
-            likely = equal_registers(np.broadcast_to(regs[p], (len(q), REGISTERS)), np.full(len(q), n[p]), regs[q], n[q], self.least)
-            if sets is not None:
-                own = elements(sets[int(p)])
-                for k in np.argsort(-likely, kind="stable")[: (likely >= 0).sum()]:
-                    x, y = top_of(joined, root[p]), top_of(joined, root[q[k]])
-                    if x != y and self._link(own, elements(sets[int(q[k])])):
-                        joined[max(x, y)] = min(x, y)
-                        self._keep(node[p : p + 1], node[q[k] : q[k] + 1])
-                continue
-            k = np.argmax(likely)
-            if likely[k] > top[p]:
-                top[p], partner[p] = likely[k], q[k]
-            better = likely > top[q]
-            top[q[better]], partner[q[better]] = likely[better], p
-        sure = np.flatnonzero(partner >= 0)
-        self._keep(node[sure], node[partner[sure]])
-
-    def _link(self, a: np.ndarray, b: np.ndarray) -> bool:
-        common = len(np.intersect1d(a, b, assume_unique=True))
-        return 100 * common >= round(100 * self.least) * (len(a) + len(b) - common)
-
-    def _keep(self, a: np.ndarray, b: np.ndarray) -> None:
-        if len(a):
-            self.done.append((np.minimum(a, b), np.maximum(a, b)))
-
-    def _estimate(self) -> None:
-        if self.held:
-            p, pn, pr, q, qn, qr = zip(*self.held)
-            a, b = np.repeat(p, [len(x) for x in q]), np.concatenate(q)
-            likely = equal_registers(np.concatenate(pr), np.concatenate(pn), np.concatenate(qr), np.concatenate(qn), self.least) >= 0
-            self._keep(a[likely], b[likely])
-            self.held, self.size = [], 0
-
-    def handed(self, last: bool = False) -> Iterator[pa.RecordBatch]:
-        if last or self.size > 4096:
-            self._estimate()
-        if self.done:
-            a, b = (np.concatenate(x) for x in zip(*self.done))
-            self.done = []
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
 def _connected(rows: DataFrame, made: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame]:
     """Points (node, mark, n, doc_id, regs) and the roots (node, root) of those that a link connects."""
     sets = made.filter("n > 0 AND doc_id IS NOT NULL")
@@ -397,14 +396,11 @@ def _connected(rows: DataFrame, made: DataFrame, width: int, least: float) -> tu
     texts = settle(marked(named, width).join(busy, ["doc_id", "mark"]).select("node", "text").dropDuplicates(["node"]))
     edges = settle(_verified(tested, texts, width, least))
     roots = settle(graph.components(edges))
-    for sets in (None, settle(_hashed_sets(texts, width))):
-        cross = settle(_cross_pairs(shared, roots, points, least, sets).join(tested, ["a", "b"], "left_anti"))
-        found = settle(_verified(cross, texts, width, least))
-        tested = tested.unionByName(cross)
-        if not found.isEmpty():
-            # What is connected already weighs no more than its roots.
-            edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
-            roots = settle(graph.components(edges))
+    linked = settle(_cross_links(shared, roots, settle(_hashed_sets(texts, width)), least))
+    if not linked.isEmpty():
+        # What is connected already weighs no more than its roots.
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked)
+        roots = settle(graph.components(edges))
     return points, roots
 
 
