@@ -265,3 +265,47 @@ def test_runs_cover_a_passage():
             for a, b in spans.runs(found, 3, 24):
                 covered |= set(range(a, b + 1))
             assert covered == set(range(len(found))), text
+
+
+def removed_words(texts):
+    """Which words of each text go, by looking at every run of every text; texts are in order of their ids."""
+    first_of, gone = {}, []
+    for text in texts:
+        found = spans.sentences(text)
+        flags = [False] * len(found)
+        for a, b in sorted(spans.runs(found, 3, 24)):
+            key = tuple(s.key for s in found[a : b + 1])
+            if first_of.setdefault(key, (len(gone), a)) != (len(gone), a):
+                flags[a : b + 1] = [True] * (b + 1 - a)
+        gone.append([f for f, s in zip(flags, found) for _ in range(s.words)])
+    return gone
+
+
+@pytest.mark.parametrize("length,least", [(60, 0.75), (90, 0.85), (300, 0.93)])
+def test_passages_inside_running_sentences(spark, length, least):
+    rng = random.Random(length)
+    own = lambda: [f"y{rng.randrange(10**7)}" for _ in range(rng.randrange(5, 60))]
+    rows, held = [], 0
+    for i in range(60):
+        shared = [f"x{i}n{rng.randrange(10**6)}" for _ in range(length)]
+        rows += [(2 * i + k, " ".join(own() + shared + own()), "en", "s", 1) for k in (0, 1)]
+    found = {r.doc_id: r for r in spans.dedup_spans(odd.table(spark, rows)).collect()}
+    expected = removed_words([r[1] for r in rows])
+    for i, text, *_ in rows:
+        left = iter(found[i].kept_text.split())
+        assert list(left) == [w for w, gone in zip(text.split(), expected[i]) if not gone]
+        assert i % 2 or found[i].n_removed == 0
+        held += sum(w.startswith("x") for w in found[i].kept_text.split()) if i % 2 else 0
+    assert 1 - held / (60 * length) >= least
+
+
+def test_passages_of_scripts_without_blanks(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    shared = "\u3002".join(letters(rng.randrange(3, 40)) for _ in range(20)) + "\u3002"
+    rows = [(i, letters(33) + "\u3002" + shared + letters(25), "zh", "s", 1) for i in range(3)]
+    found = {r.doc_id: r for r in spans.dedup_spans(odd.table(spark, rows)).collect()}
+    assert found[0].kept_text == rows[0][1]
+    for i in (1, 2):
+        a, b = map(int, found[i].removed.split(":"))
+        assert abs(a - 34) <= spans.LONGEST and b - a >= 0.95 * len(shared) and found[i].kept_text == rows[i][1][:a] + rows[i][1][b:]
