@@ -11,7 +11,10 @@ Markup narrows the choice before the text is judged. What stands in a navigation
 header, footer, aside, form or the like, by element, role, or a word of its class
 or id, is boilerplate. A page's article elements, or else its main element, bound
 its content: blocks outside are boilerplate, and inside a block counts as open
-until its links say otherwise.
+until its links say otherwise. A form, or a word of a class or id, is weak evidence:
+where such a wrapper holds the article or main element of a page that has none
+outside, and most of its text, the wrapper is no reason; and where nothing outside
+is content, the passes judge what such wrappers hold. Comments stay out.
 """
 
 from __future__ import annotations
@@ -80,6 +83,7 @@ comment comments commentlist respond disqus replies
 cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay
 newsletter subscribe subscription signup login signin register search searchbox form paywall skip
 """.split())
+_REMARKS = frozenset("comment comments commentlist respond disqus replies".split())
 _OWN = frozenset("article post entry story content main page text body".split())  # such a header or text is the content's
 _NEUTRAL = frozenset("with has have no without is not".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -88,35 +92,43 @@ _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 class Block(NamedTuple):
     text: str
     linked: int  # characters in links
-    inside: int  # -1 in what markup excludes, 1 in an article, 2 in main, 0 elsewhere
+    inside: int  # 1 in an article, 2 in main, 0 elsewhere; WRAPPED more for those in a doubtful wrapper
+    out: int  # how surely markup excludes it: NOT, MAYBE or SURELY
     heading: bool
 
 
-def _excluded(name: str, attrs: str, within: int) -> bool:
-    """Whether markup says that an element is no main text."""
-    if name in _EXCLUDED:
-        return True
-    if name == "header":
-        return within < 1
-    if not attrs or name in ("html", "body", "main"):
-        return False
+NOT, MAYBE, SURELY = 0, 1, 2
+WRAPPED = 2
+
+
+def _excluded(name: str, attrs: str, within: int) -> int:
+    """How surely markup says that an element is no main text."""
+    if name in _EXCLUDED and name != "form":
+        return SURELY
+    if name == "header" and within < 1:
+        return SURELY
+    doubt = MAYBE if name == "form" else NOT
+    if not attrs or name in ("header", "html", "body", "main"):
+        return doubt
     for match in _ATTRIBUTE.finditer(attrs):
         key = match[1].lower()
         value = match[2] or match[3] or match[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return SURELY
         if key == "role" and value.lower() in _ROLES:
-            return True
+            return SURELY
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return SURELY
         if key in ("class", "id"):
             for one in value.split():
                 words = [w.lower() for w in _SPLIT.split(one) if w]
                 if _WORDS.intersection(words) and not _NEUTRAL.intersection(words):
                     if _OWN.intersection(words) and not _WORDS.intersection(words) - {"header", "body"}:
                         continue
-                    return True
-    return False
+                    if _REMARKS.intersection(words):
+                        return SURELY
+                    doubt = MAYBE
+    return doubt
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -164,9 +176,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 def blocks(page: str) -> Iterator[Block]:
     """The blocks of a page that have text, in order."""
-    stack: list[tuple[str, bool, int]] = []  # name, and what held outside of it
+    stack: list[tuple[str, int, int]] = []  # name, and what held outside of it
     open_names: Counter[str] = Counter()
-    out, inside = False, 0
+    out, inside = NOT, 0
     parts: list[str] = []
     linked, link, heading = 0, False, False
 
@@ -180,7 +192,7 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            yield Block(text, linked, -1 if out else inside, heading)
+            yield Block(text, linked, inside, out, heading)
         parts, linked = [], 0
 
     for kind, name, rest in tokens(page):
@@ -201,17 +213,20 @@ def blocks(page: str) -> Iterator[Block]:
                     leave(len(stack) - 1)
                 heading = len(name) == 2 and name[0] == "h" and name[1] in "123456"
             link = name == "a" or link and inline
-            gone = out or _excluded(name, rest, inside)
-            if inline and gone and not out:
+            gone = max(out, _excluded(name, rest, inside))
+            if inline and gone > out:
                 yield from flush()  # its text must not mix with that around it
             if not inline or gone:
                 stack.append((name, out, inside))
                 open_names[name] += 1
+                landmark = 1 if name == "article" else 2 if name == "main" else 0
+                if landmark and inside == 0 and out == MAYBE and gone == MAYBE:
+                    inside, gone = landmark + WRAPPED, NOT
+                elif landmark == 1 and inside in (0, 2) or landmark == 2 and inside == 0:
+                    inside = landmark
+                elif landmark == 1 and inside == 2 + WRAPPED:
+                    inside = 1 + WRAPPED
                 out = gone
-                if name == "article":
-                    inside = 1
-                elif name == "main" and inside == 0:
-                    inside = 2
         else:
             link = link and name != "a"
             if open_names[name] > 0:
@@ -297,18 +312,43 @@ def second_pass(labels: list[str], bounded: bool) -> list[bool]:
     return out
 
 
+def _latin(text: str) -> bool:
+    """Whether most letters are of the script whose stop words are known."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c < "\u0250" for c in letters) >= len(letters)
+
+
+def _judged(found: list[Block], bounded: bool) -> list[str]:
+    known = bounded or knows_language(found)
+    return [first_pass(b, bounded, known and (bounded or _latin(b.text))) for b in found]
+
+
+def _bounds(found: list[Block]) -> int:
+    """The landmark whose blocks are the content: an article, else main, else such a one in a wrapper with most of the text; 0 if none."""
+    size = {at: sum(len(b.text) - b.linked for b in found if b.inside == at) for at in range(5)}
+    within = {b.inside for b in found}
+    for at in (1, 2):
+        if at in within:
+            return at
+    for at in (1 + WRAPPED, 2 + WRAPPED):
+        if size[at] > size[0]:
+            return at
+    return 0
+
+
 def main_text(page: str) -> str:
     """The main text of a page: its content blocks in order, joined by one space; empty if there are none."""
     # What markup excludes is decided and tells nothing about the text beside it.
-    found = [b for b in blocks(page) if b.inside >= 0]
-    within = {b.inside for b in found}
-    bound = 1 if 1 in within else 2 if 2 in within else 0
-    if bound == 2:
-        found = [b for b in found if b.inside == 2]
-    elif bound == 1:
-        found = [b for b in found if b.inside == 1]
-    known = bound > 0 or knows_language(found)
-    labels = [first_pass(b, bound > 0, known) for b in found]
+    every = list(blocks(page))
+    found = [b for b in every if b.out == NOT]
+    bound = _bounds(found)
+    found = [b for b in found if b.inside == bound]
+    labels = _judged(found, bound > 0)
+    if not bound and GOOD not in labels:
+        doubtful = [b for b in every if b.out == MAYBE]
+        again = _judged(doubtful, False)
+        if GOOD in again:
+            found, labels = doubtful, again
     return " ".join(b.text for b, keep in zip(found, second_pass(labels, bound > 0)) if keep)
 
 

@@ -417,3 +417,33 @@ def test_histogram_packing():
         if size == 5000:
             assert sum(n * c for n, c in hist.items()) >= 0.99 * 2048 * total
     assert packing.pack_histogram({}) == [] and packing.pack_histogram({5: 1000})[0].parts == ((5, 409),)
+
+
+PROSE = "The house that we saw was on the hill and it had been there for as long as they could remember, with all of its rooms."
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<form>{}</form>", "<div class='layout-sidebar-right'>{}</div>", "<div class='page search-results'>{}</div>",
+    "<div class='content-ad-free'>{}</div>", "<div id='main-menu-open'>{}</div>", "<form><div class='has-widget share'>{}</div></form>",
+])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div>{}</div>"])
+def test_doubtful_wrappers_keep_the_article(wrapper, inner):
+    text = " ".join([PROSE] * 3)
+    page = f"<body><nav><a href=x>Home</a></nav>{wrapper.format(inner.format(f'<p>{text}</p>'))}<footer>Imprint</footer></body>"
+    assert html.main_text(page) == text
+
+
+def test_wrapped_cards_beside_the_article_stay_out():
+    text = " ".join([PROSE] * 3)
+    card = "<article><h3>Another story</h3><p>Read what they wrote about it.</p></article>"
+    for name in ("article", "div"):
+        assert html.main_text(f"<{name}><p>{text}</p></{name}><div class='related'>{card}{card}</div>") == text
+    remark = f"<div class='comments'><article><p>{text}</p></article></div>"
+    assert html.main_text(f"<article><p>{PROSE}</p></article>{remark}") == PROSE
+    assert html.main_text(remark) == ""
+
+
+def test_paragraphs_of_another_script_are_judged_by_length():
+    chinese = "这是一个关于天气的长段落我们今天去公园看花然后回家吃饭大家都很高兴因为天气很好" * 4
+    page = f"<body><p>{PROSE}</p><p>{chinese}</p><p>{PROSE}</p><p>{PROSE}</p></body>"
+    assert html.main_text(page) == " ".join([PROSE, chinese, PROSE, PROSE])
