@@ -1,10 +1,11 @@
 """Span trees: parents, orphans, cycles, depth, depth-first order.
 
-Only spans that are somebody's parent take part in the iteration. Each round
-doubles how far a span has looked up, so the rounds grow with the logarithm of
-the depth; spans that finish drop out. A round in which none finishes proves
-that the rest never reach a root, as a longer finite chain would have to pass
-through that distance.
+A span's place in depth-first order is the sum, over the way from its root down to it,
+of one and the sizes of the subtrees of earlier siblings. So two numbers per span are
+enough and no paths are carried: first the spans below each, then the places above it.
+Both are found by pointer jumping: every round doubles how far a span has looked up,
+so the rounds grow with the logarithm of the depth. Only spans that are somebody's
+parent take part; leaves join once.
 """
 
 from __future__ import annotations
@@ -14,13 +15,9 @@ from pyspark.sql import functions as F
 
 from spanloom import session
 from spanloom.functions import display
-from spanloom.operators.ranking import number_rows
+from spanloom.operators.ranking import has_group_beyond, running_total
 
 TRACE = ["project_id", "trace_id"]
-_STEP = "struct<ms:bigint,id:string>"
-# Rounds in which open spans carry paths before it is settled which of them will
-# ever finish: paths of spans on or below a cycle stay within 2 ** ROUNDS steps.
-ROUNDS = 4
 
 
 def first_spans(observations: DataFrame) -> DataFrame:
@@ -41,104 +38,116 @@ def _spans(observations: DataFrame) -> DataFrame:
     )
 
 
-def _endless(open_: DataFrame) -> DataFrame:
-    """Ids of open spans that never reach a root; only ids are carried to find out."""
-    left = session.cut_lineage(open_.select(*TRACE, "id", "anc"))
-    waiting = left.count()
+def _subtrees(spans: DataFrame) -> DataFrame:
+    """Spans named as a parent: how many spans lie below, and whether its way up never ends.
+
+    After round k ``below`` counts the spans less than 2 ** k levels under a span's children and
+    ``anc`` is the span 2 ** k levels up. A round in which no span arrives at a root
+    proves the rest to hang on a cycle, as a longer finite chain would have to pass
+    through that distance.
+    """
+    children = spans.filter(F.col("parent").isNotNull()).groupBy(*TRACE, F.col("parent").alias("id")).agg(
+        F.count("*").alias("below")
+    )
+    # A parent that is missing counts as one more level: the first round looks above it and finds nothing.
+    state = session.cut_lineage(
+        spans.select(*TRACE, "id", F.col("parent").alias("anc")).join(children, [*TRACE, "id"])
+    )
+    climbing = F.col("anc").isNotNull()
+    waiting = state.filter(climbing).count()
     while waiting:
-        # An ancestor that isn't open has finished, and so does what reaches it.
-        up = left.select(*TRACE, F.col("id").alias("anc"), F.col("anc").alias("_anc"))
-        left = session.cut_lineage(left.join(up, [*TRACE, "anc"]).select(*TRACE, "id", F.col("_anc").alias("anc")))
-        still = left.count()
+        gained = state.filter(climbing).groupBy(*TRACE, F.col("anc").alias("id")).agg(F.sum("below").alias("_gained"))
+        up = state.select(*TRACE, F.col("id").alias("anc"), F.col("anc").alias("_anc"))
+        state = session.cut_lineage(
+            state.join(up, [*TRACE, "anc"], "left").join(gained, [*TRACE, "id"], "left").select(
+                *TRACE, "id", F.col("_anc").alias("anc"),
+                (F.col("below") + F.coalesce("_gained", F.lit(0))).alias("below"),
+            )
+        )
+        still = state.filter(climbing).count()
         if still == waiting:
             break
         waiting = still
-    return left.select(*TRACE, "id")
+    return state.select(*TRACE, "id", "below", climbing.alias("endless"))
+
+
+def _kinds(spans: DataFrame) -> DataFrame:
+    """Every span with its kind, the parent it stands under and the size of its subtree."""
+    inner = _subtrees(spans)
+    over = inner.select(*TRACE, F.col("id").alias("parent"), F.col("endless").alias("_over"))
+    own = inner.select(*TRACE, "id", "below")
+    kind = (
+        F.when(F.col("parent").isNull(), "root")
+        .when(F.col("_over").isNull(), "missing_parent")
+        .when(F.col("_over"), "cycle")
+        .otherwise("child")
+    )
+    return (
+        spans.join(over, [*TRACE, "parent"], "left").join(own, [*TRACE, "id"], "left")
+        .withColumn("kind", kind)
+        .select(
+            *TRACE, "id", "parent", "ms", "kind",
+            F.when(F.col("kind") == "child", F.col("parent")).alias("under"),
+            # Spans of a cycle stand alone.
+            (F.col("below").isNotNull() & (F.col("kind") != "cycle")).alias("is_parent"),
+            F.when(F.col("kind") == "cycle", F.lit(1)).otherwise(1 + F.coalesce("below", F.lit(0))).cast("bigint").alias("size"),
+        )
+    )
 
 
-def _parents(spans: DataFrame) -> DataFrame:
-    """Spans named as a parent, with the path from their root; NULL path in a cycle."""
-    named = spans.filter(F.col("parent").isNotNull()).select(*TRACE, F.col("parent").alias("id")).distinct()
-    inner = spans.join(named, [*TRACE, "id"], "left_semi")
-    above = inner.select(*TRACE, F.col("id").alias("parent"), F.lit(True).alias("_held"))
+def _reached(placed: DataFrame) -> DataFrame:
+    """Position and depth of the spans that are parents, summed along their way to the root."""
     state = session.cut_lineage(
-        inner.join(above, [*TRACE, "parent"], "left").select(
-            *TRACE, "id",
-            F.when(F.col("_held"), F.col("parent")).alias("anc"),
-            F.array("step").alias("path"),
+        placed.filter("is_parent").select(
+            *TRACE, "id", F.col("under").alias("anc"), (F.col("earlier") + 1).alias("position"),
+            F.when(F.col("under").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
         )
     )
-    done = state.filter(F.col("anc").isNull())
-    open_ = state.filter(F.col("anc").isNotNull())
-    waiting, rounds = open_.count(), 0
-    endless = None
-    while waiting:
-        if rounds == ROUNDS:
-            endless = _endless(open_)
-            open_ = session.cut_lineage(open_.join(endless, [*TRACE, "id"], "left_anti"))
-            waiting = open_.count()
-            if not waiting:
-                break
-        rounds += 1
+    done, open_ = state.filter(F.col("anc").isNull()), state.filter(F.col("anc").isNotNull())
+    while not open_.isEmpty():
         up = done.unionByName(open_).select(
-            *TRACE, F.col("id").alias("anc"), F.col("anc").alias("_anc"), F.col("path").alias("_path")
+            *TRACE, F.col("id").alias("anc"), F.col("anc").alias("_anc"),
+            F.col("position").alias("_position"), F.col("depth").alias("_depth"),
         )
         moved = session.cut_lineage(
             open_.join(up, [*TRACE, "anc"]).select(
-                *TRACE, "id", F.col("_anc").alias("anc"), F.concat("_path", "path").alias("path")
+                *TRACE, "id", F.col("_anc").alias("anc"),
+                (F.col("position") + F.col("_position")).alias("position"),
+                (F.col("depth") + F.col("_depth")).alias("depth"),
             )
         )
         done = done.unionByName(moved.filter(F.col("anc").isNull()))
         open_ = moved.filter(F.col("anc").isNotNull())
-        still = open_.count()
-        if still == waiting:
-            break
-        waiting = still
-    if endless is not None:
-        open_ = open_.select(*TRACE, "id").unionByName(endless)
-    stuck = open_.select(*TRACE, "id", F.lit(None).cast(f"array<{_STEP}>").alias("path"))
-    return done.select(*TRACE, "id", "path").unionByName(stuck)
+    return done.select(*TRACE, "id", "position", "depth")
 
 
-def span_paths(observations: DataFrame) -> DataFrame:
-    """Depth, orphan flag, kind and root path of every span.
+def span_tree(observations: DataFrame) -> DataFrame:
+    """Every span with its kind, depth and position in depth-first order of its trace.
 
     ``kind`` is root, child, missing_parent or cycle; the last two stand at the
-    root, flagged. Ordering by ``path`` is depth-first order.
+    root, flagged as orphaned. Siblings are ordered by start and id.
     """
-    # Narrow and used four times below: deduplicated once.
-    staged = session.stage(_spans(observations), "spans")
-    spans = staged.select(*TRACE, "id", "parent", F.struct("ms", "id").alias("step"))
-    parents = _parents(spans).select(
-        *TRACE, F.col("id").alias("parent"), F.col("path").alias("_above"), F.lit(True).alias("_held")
-    )
-    joined = spans.join(parents, [*TRACE, "parent"], "left")
-    kind = (
-        F.when(F.col("parent").isNull(), "root")
-        .when(F.col("_held").isNull(), "missing_parent")
-        .when(F.col("_above").isNull(), "cycle")
-        .otherwise("child")
+    # Narrow and used several times: deduplicated once.
+    spans = session.stage(_spans(observations), "spans")
+    # Siblings are never more than the spans of their trace.
+    crowded = has_group_beyond(spans, TRACE)
+    kinds = _kinds(spans)
+    if crowded:
+        kinds = session.stage(kinds, "kinds")  # placing by range samples its input before it reads it
+    siblings = running_total(kinds, [*TRACE, "under"], [F.col("ms").asc(), F.col("id").asc()], "size", "earlier", crowded)
+    # Sums are read for parents first and for all spans after.
+    placed = session.stage(siblings.drop("size", "ms"), "siblings")
+    above = _reached(placed).select(
+        *TRACE, F.col("id").alias("under"), F.col("position").alias("_position"), F.col("depth").alias("_depth")
     )
-    return joined.select(
-        *TRACE, "id", F.col("parent").alias("parent_observation_id"),
-        kind.alias("kind"),
-        F.when(F.col("_above").isNull(), F.array("step"))
-        .otherwise(F.concat("_above", F.array("step")))
-        .alias("path"),
-    ).select(
-        "*",
-        (F.size("path") - 1).cast("bigint").alias("depth"),
+    return placed.join(above, [*TRACE, "under"], "left").select(
+        *TRACE, "id", F.col("parent").alias("parent_observation_id"), "kind",
+        F.coalesce(F.col("_depth") + 1, F.lit(0)).cast("bigint").alias("depth"),
         F.col("kind").isin("missing_parent", "cycle").alias("orphaned"),
+        (F.coalesce("_position", F.lit(0)) + F.col("earlier") + 1).alias("position"),
     )
 
 
-def span_tree(observations: DataFrame) -> DataFrame:
-    """Every span with its position in depth-first order of its trace."""
-    # Numbering samples its input before it reads it.
-    paths = session.stage(span_paths(observations), "paths")
-    return number_rows(paths, TRACE, [F.col("path").asc()], "position").drop("path")
-
-
 def span_facts(observations: DataFrame) -> DataFrame:
     """What a span row shows: error, finish reason, payload and details."""
     has_payload = F.col("input").isNotNull() | F.col("output").isNotNull()

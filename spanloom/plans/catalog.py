@@ -669,7 +669,7 @@ def span_tree_observations(fx: Fixtures) -> DataFrame:
 
 @query(_tree_sql("fx_turns", "kind, count(*) AS spans, CAST(max(depth) AS bigint) AS deepest", "GROUP BY kind"))
 def tree_kinds(fx: Fixtures) -> DataFrame:
-    return tree.span_paths(fx.turns()).groupBy("kind").agg(
+    return tree.span_tree(fx.turns()).groupBy("kind").agg(
         F.count("*").alias("spans"), F.max("depth").alias("deepest")
     )
 

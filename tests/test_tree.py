@@ -1,7 +1,12 @@
 import random
+import time
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from spanloom import session
 from spanloom.operators import tree
+from spanloom.operators.ranking import has_group_beyond, running_total
 
 T0 = datetime(2024, 1, 1)
 
@@ -65,6 +70,11 @@ def test_long_chain_and_cycle_beside_it(spark):
     check(spark, chain + ring)
 
 
+def test_crowded_trace(spark, monkeypatch):
+    monkeypatch.setattr(tree, "has_group_beyond", lambda spans, group: True)
+    test_random_forests(spark)
+
+
 def test_random_forests(spark):
     rnd = random.Random(5)
     spans = []
@@ -98,3 +108,46 @@ def test_deep_chain_beside_cycles(spark):
     tails = [("rings", f"t{i:02d}", f"t{i - 1:02d}" if i else "0-1", i) for i in range(40)]
     own = [("deep", "x", "y", 0), ("deep", "y", "x", 1), ("deep", "z", "y", 2)]
     check(spark, chain + rings + tails + own)
+
+
+def test_deep_chain_beside_many_cycles_in_time(spark):
+    chain = [("deep", f"s{i:05d}", f"s{i - 1:05d}" if i else None, i) for i in range(5000)]
+    rings = [("rings", f"{k:04d}-{i}", f"{k:04d}-{(i + 1) % 4}", i) for k in range(2500) for i in range(4)]
+    df = session.stage(frame(spark, chain + rings), "deep")
+    begun = time.perf_counter()
+    got = {(r.trace_id, r.id): (r.kind, r.depth, r.position) for r in tree.span_tree(df).collect()}
+    assert time.perf_counter() - begun < 30  # 13 rounds up and 14 down; about 8 s on eight free cores
+    for n, (t, i, _, _) in enumerate(chain):
+        assert got[t, i] == ("child" if n else "root", n, n + 1)
+    by_start = sorted(rings, key=lambda s: (s[3] // 1000, s[1]))
+    assert [got[t, i] for t, i, _, _ in by_start] == [("cycle", 0, n + 1) for n in range(len(rings))]
+
+
+def test_no_arrays_travel(spark, monkeypatch):
+    seen = []
+
+    def noting(do):
+        def noted(df, *args):
+            seen.append(df.schema)
+            return do(df, *args)
+        return noted
+
+    monkeypatch.setattr(session, "cut_lineage", noting(session.cut_lineage))
+    monkeypatch.setattr(session, "stage", noting(session.stage))
+    seen.append(tree.span_tree(frame(spark, [("t", f"{i}", f"{i - 1}" if i else None, i) for i in range(6)])).schema)
+    assert len(seen) > 6
+    assert {f.dataType.typeName() for schema in seen for f in schema} <= {"string", "long", "boolean"}
+
+
+def test_running_total_of_crowded_groups(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["a", "a", "b", None]), i, rnd.randrange(9)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, o int, v bigint")
+    sums, want = {}, {}
+    for g, o, v in rows:
+        want[g, o] = sums.get(g, 0)
+        sums[g] = want[g, o] + v
+    assert has_group_beyond(df, ["g"], 2000) and not has_group_beyond(df, ["g"], 5000)
+    for crowded in (True, False):  # range partitions, and one window
+        got = running_total(df, ["g"], [F.col("o").asc()], "v", "before", crowded)
+        assert {(r.g, r.o): r.before for r in got.collect()} == want
