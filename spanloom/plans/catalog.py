@@ -18,7 +18,7 @@ from spanloom.operators import (
     admit, detail, fold, listing, maintenance, normalize, pricing, reports, tenancy, tree,
 )
 from spanloom.plans.fixtures import Fixtures, _sql, with_views
-from spanloom.sources import tables, trace_store
+from spanloom.sources import page_files, tables, tag_index, trace_store
 from spanloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,27 @@ def tenant_list_page(fx: Fixtures) -> DataFrame:
     return listing.list_page(fx.windowed_traces(obs), obs, "p3", limit=50).rows.select(*_list_columns())
 
 
+@query()
+def tenant_page_stored(fx: Fixtures) -> DataFrame:
+    """The same page from traces stored in page order."""
+    root, obs = session.scratch_path(fx.spark, "pages"), session.stage(fx.priced(), "priced")
+    page_files.write(session.stage(fx.windowed_traces(obs), "windowed"), root, rows_per_file=1000)
+    return page_files.list_page(fx.spark, root, obs, "p3", limit=50).rows.select(*_list_columns())
+
+
+ORACLES["tenant_page_stored"] = ORACLES["tenant_list_page"]
+
+
+@query(f"""SELECT project_id, id, {_ts('started_at')} FROM fx_traces
+    WHERE list_contains(tags, '1') AND list_contains(tags, 'O')""")
+def traces_by_tags(fx: Fixtures) -> DataFrame:
+    """Traces of all tenants that bear both tags, from the tags' side table."""
+    path = session.scratch_path(fx.spark, "tags")
+    tag_index.write(fx.traces(), path, buckets=16)
+    tenants = [r.project_id for r in fx.projects().collect()]  # as many as there are nations
+    return tag_index.traces_with(fx.spark, path, tenants, ["1", "O", "1"]).select("project_id", "id", ts("started_at"))
+
+
 @query("""WITH one AS (SELECT project_id, min(id) AS id FROM fx_traces WHERE project_id = 'p3' GROUP BY project_id),
     own AS (SELECT o.* FROM fx_observations o JOIN one ON o.project_id = one.project_id AND o.trace_id = one.id),
     shown AS (SELECT c.* FROM fx_scores c JOIN one ON c.project_id = one.project_id
