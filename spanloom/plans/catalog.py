@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from spanloom import session
 from spanloom.functions import cursors, display, measures, model_ids, values
 from spanloom.operators import (
-    admit, detail, fold, listing, maintenance, normalize, pricing, reports, tenancy, tree,
+    admit, detail, fold, listing, maintenance, normalize, pricing, reports, sketches, tenancy, tree,
 )
 from spanloom.plans.fixtures import Fixtures, _sql, with_views
 from spanloom.sources import page_files, tables, tag_index, trace_store
-from spanloom.streaming import ingest
+from spanloom.streaming import ingest, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1240,3 +1240,71 @@ def session_view(fx: Fixtures) -> DataFrame:
     return found.withColumns(
         {"first_started_at": ts("first_started_at"), "last_started_at": ts("last_started_at"), "total_cost_usd": dec("total_cost_usd")}
     )
+
+
+_CUBE_SETS = [[], ["project_id"], ["environment"], ["project_id", "environment"], ["project_id", "release"], ["project_id", "environment", "release"]]
+
+
+@query("""SELECT project_id, environment, release, CAST(grouping(project_id) * 4 + grouping(environment) * 2 + grouping(release) AS integer) AS level,
+        count(*) AS traces, CAST(sum(total_tokens) AS bigint) AS total_tokens,
+        CAST(CAST(sum(total_cost_usd) AS decimal(38,8)) AS varchar) AS total_cost_usd, count(DISTINCT user_id) AS users, true AS users_close
+    FROM fx_listed GROUP BY GROUPING SETS ((), (project_id), (environment), (project_id, environment), (project_id, release),
+        (project_id, environment, release))""")
+def spend_cube(fx: Fixtures) -> DataFrame:
+    """Spend by six sets of groups from stored days; users estimated by sketches, held against an exact count."""
+    listed = session.stage(
+        listing.list_all(fx.traces(), fx.priced()).select(*sketches.GROUPS, "started_at", "user_id", "total_tokens", "total_cost_usd"), "listed"
+    )
+    cube = sketches.spend_cube(session.stage(sketches.daily_spend(listed), "daily-spend"), _CUBE_SETS)
+    sets = [[F.col(c) for c in s] for s in _CUBE_SETS]
+    exact = listed.groupingSets(sets, *sketches.GROUPS).agg(
+        F.grouping_id(*sketches.GROUPS).cast("int").alias("level"), F.count_distinct("user_id").alias("_exact")
+    )
+    same = F.lit(True)
+    for c in (*sketches.GROUPS, "level"):
+        same = same & F.col(f"c.{c}").eqNullSafe(F.col(f"e.{c}"))
+    # Four standard errors.
+    close = F.abs(F.col("c.users") - F.col("_exact")) <= F.greatest(F.lit(1.0), 0.0325 * F.col("_exact"))
+    return cube.alias("c").join(exact.alias("e"), same).select(
+        *[f"c.{c}" for c in (*sketches.GROUPS, "level", "traces", "total_tokens")],
+        F.col("c.total_cost_usd").cast("string").alias("total_cost_usd"), F.col("_exact").alias("users"), close.alias("users_close"),
+    )
+
+
+@query("""SELECT project_id, strftime(date_trunc('month', started_at + to_milliseconds(latency_ms)), '%Y-%m-%d') AS bucket, count(*) AS rows,
+        min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, true AS median_close, true AS q95_close
+    FROM fx_observations GROUP BY ALL""")
+def delivery_lag_months(fx: Fixtures) -> DataFrame:
+    """Lags per month from stored days; the median and the 95 % quantile hold against the ranks of all rows."""
+    rows = fx.observations(with_model=False).withColumn("created_at", F.timestamp_millis(F.unix_millis("started_at") + F.col("latency_ms")))
+    month = F.date_trunc("month", "day")
+    found = sketches.lag_over(session.stage(sketches.daily_lag(rows), "daily-lag"), month)
+    lags = sketches.lag_ms(rows).select("project_id", F.date_trunc("month", "created_at").alias("bucket"), "lag_ms")
+    ranks = session.lookup_join(lags, found, ["project_id", "bucket"], [F.col("lag_ms")], how="inner")
+
+    def close(q: float, c: str) -> Column:
+        # The share of rows below, and up to, the value must hold the quantile, but for the sketch's error and one row.
+        slack = sketches.LAG_RANK_ERROR * F.count("*") + 1
+        below, upto = F.count_if(F.col("lag_ms") < F.col(c)), F.count_if(F.col("lag_ms") <= F.col(c))
+        return (below <= q * F.count("*") + slack) & (upto >= q * F.count("*") - slack)
+
+    return ranks.groupBy("project_id", "bucket", "rows", "min_ms", "max_ms").agg(
+        close(0.5, "q50_ms").alias("median_close"), close(0.95, "q95_ms").alias("q95_close")
+    ).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
+
+
+@query()
+def score_series_stream(fx: Fixtures) -> DataFrame:
+    """Scores that come in four micro-batches, summed by day in a stream; equals score_series."""
+    root = session.scratch_path(fx.spark, "series")
+    scores = fx.scores().select("project_id", "name", "value", "scored_at")
+    scores.repartitionByRange(4, "scored_at").write.parquet(f"{root}/in")
+    arriving = fx.spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    series.start_score_series(arriving, f"{root}/out", f"{root}/state", lateness="3650 days", available_now=True).awaitTermination()
+    return series.read_score_series(fx.spark, f"{root}/out").select(
+        "project_id", "name", F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), "scores",
+        F.round("mean_value", 6).cast("decimal(18,6)").cast("string").alias("mean_value"),
+    )
+
+
+ORACLES["score_series_stream"] = ORACLES["score_series"]
