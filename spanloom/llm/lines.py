@@ -29,6 +29,7 @@ from spanloom.llm.common import SPACE, extended, raw, slices
 MIN_CHARS = 10  # code points of a key below which a line always stays
 SHARD_KEYS = 100_000  # keys a shard is meant to index
 GROUP_PROBES = 500_000  # probes one task is meant to answer
+LISTED_SHARDS = 65_536  # busy shards that tasks are told of one by one
 NO_ID = (1 << 63) - 1  # a missing doc_id sorts after all others
 _BLANK = SPACE.encode()
 _ENTRY = np.dtype([("h", "<u8"), ("f", "<u8")])
@@ -191,13 +192,40 @@ def recurring_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFra
     return kept, total.get["lines"] or 0
 
 
+def groups_of_shards(keys: DataFrame, lines: int, shards: int, tasks: int) -> tuple[int, dict[int, int]]:
+    """In how many groups a shard's documents are dealt: for most shards, and for busy ones.
+
+    A line that every document holds is probed once per document, all in one shard. The
+    counts of the keys tell each shard's load; no group is meant to get more than twice the
+    load of a usual one, nor than ``GROUP_PROBES``. At most ``LISTED_SHARDS`` are named: where more are
+    busy, all shards get as many groups as the least busy of the others need.
+    """
+    own = session.stage(keys.groupBy(F.pmod("h", F.lit(shards)).cast("int").alias("shard")).agg(F.sum("n").alias("n")), "line-loads")
+    indexed, median = own.agg(F.sum("n"), F.percentile_approx("n", 0.5)).first()
+    # Keys that are not indexed fall on all shards alike.
+    rest = (lines - (indexed or 0)) / shards
+    middle = max(1, (median or 0) + rest)
+    usual = max(math.ceil(middle / GROUP_PROBES), math.ceil(2 * tasks / shards))
+    need = own.withColumn("groups", F.ceil((F.col("n") + rest) / min(GROUP_PROBES, 1.5 * middle / usual)))
+    power = F.ceil(F.log2("groups")).cast("int")
+    # One row per power of two.
+    sizes = need.filter(F.col("groups") > usual).groupBy(power.alias("power")).count().orderBy(F.col("power").desc()).collect()
+    named, least = 0, usual
+    for r in sizes:
+        named += r["count"]
+        if named > LISTED_SHARDS:
+            least = 1 << r.power
+            break
+    busy = need.filter(F.col("groups") > least).select("shard", "groups").collect()
+    return least, {r.shard: r.groups for r in busy}
+
+
 def dropped_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(owner, drops): per doc_id the packed hashes of the lines it loses."""
+    spark = docs.sparkSession
     keys, lines = recurring_keys(docs, min_chars)
     shards = max(1, math.ceil(keys.count() / SHARD_KEYS))
-    # A key held by every document is probed once per document, all in one shard:
-    # so each shard is served by several groups, over which documents are dealt.
-    copies = max(1, math.ceil(lines / shards / GROUP_PROBES), math.ceil(2 * docs.sparkSession.sparkContext.defaultParallelism / shards))
+    usual, busy = groups_of_shards(keys, lines, shards, spark.sparkContext.defaultParallelism)
     arrays = session.stage(
         keys.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build_shard, SHARD),
         "line-arrays",
@@ -206,13 +234,16 @@ def dropped_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     def ask(batches):
         for batch in slices(batches):
             rows = []
-            for owner, text in zip(batch.column("owner").to_pylist(), raw(batch, "text")):
+            owners = batch.column("owner").to_pylist()
+            # Ids may share a factor with the number of groups, so they are mixed first.
+            dealt = (_mix(np.array(owners, np.int64).view(np.uint64), 0) >> np.uint64(1)).tolist()
+            for owner, deal, text in zip(owners, dealt, raw(batch, "text")):
                 m = np.unique(line_hashes(text, min_chars)[1])
                 m = m[m["h"] | m["f"] != 0]
                 if len(m):
                     shard = np.mod(m["h"].copy().view(np.int64), shards)
                     for s in np.unique(shard):
-                        rows.append((int(s), owner % copies, owner, m[shard == s].tobytes()))
+                        rows.append((int(s), deal % busy.get(int(s), usual), owner, m[shard == s].tobytes()))
             if rows:
                 s, c, o, h = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -221,7 +252,9 @@ def dropped_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 )
 
     probes = docs.mapInArrow(ask, "shard int, copy int, owner bigint, hashes binary")
-    served = arrays.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    named = F.broadcast(spark.createDataFrame(list(busy.items()), "shard int, _groups bigint"))  # LISTED_SHARDS rows at most
+    groups = F.coalesce("_groups", F.lit(usual)).cast("int")
+    served = arrays.join(named, "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), groups - 1))).drop("_groups")
     return (
         probes.groupBy("shard", "copy")
         .cogroup(served.groupBy("shard", "copy"))

@@ -157,6 +157,28 @@ def test_lines(spark, monkeypatch, shard_keys, group_probes):
     assert found[0].component_id == "clash"
 
 
+def test_a_line_in_every_document_is_dealt_evenly(spark, monkeypatch):
+    """20,000 documents with one common line, and lines that two documents share; ids share factors with any number of groups."""
+    monkeypatch.setattr(lines, "SHARD_KEYS", 1000)
+    monkeypatch.setattr(lines, "GROUP_PROBES", 2000)
+    n = 20_000
+    data = [(i * 60, "the line of all\n" + "\n".join(f"shared line {(i + k * n // 2) // 2 % n}-{k}" for k in range(2)), "en", "s", 1) for i in range(n)]
+    keys, total = lines.recurring_keys(lines._prepared(odd.table(spark, data)))
+    shards = -(-keys.count() // 1000)
+    usual, busy = lines.groups_of_shards(keys, total, shards, 1)
+    load = {r.shard: r.n for r in keys.groupBy((F.pmod("h", F.lit(shards))).alias("shard")).agg(F.sum("n").alias("n")).collect()}
+    groups = [v / busy.get(s, usual) for s, v in load.items()]
+    assert len(busy) >= 1 and max(groups) <= 2 * sorted(groups)[len(groups) // 2] and max(groups) <= 2000
+    # More busy shards than may be named: all get enough groups.
+    monkeypatch.setattr(lines, "LISTED_SHARDS", 0)
+    least, none = lines.groups_of_shards(keys, total, shards, 1)
+    assert not none and max(v / least for v in load.values()) <= 2000
+
+    monkeypatch.setattr(lines, "LISTED_SHARDS", 65_536)
+    found = lines.dedup_lines(odd.table(spark, data))
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in found.collect()) == Counter(brute_lines(data))
+
+
 def test_lines_of_nothing(spark):
     assert lines.dedup_lines(odd.empty(spark)).collect() == []
 
