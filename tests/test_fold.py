@@ -147,3 +147,21 @@ def test_window_repair_touches_only_wrong_rows(spark):
         ('b', timestamp'2024-01-01'), ('c', timestamp'2024-01-01') t(trace_id, s)""")
     assert {r.id for r in fold.windows_to_repair(traces, obs).collect()} == {"b", "c"}
     assert fold.rebuild_windows(traces, obs).count() == 4
+
+
+def test_windows_of_a_trace_are_one_fold_input(spark):
+    """Its batches' windows fold to the same trace, in one row instead of one per batch."""
+    head = "project_id string, batch_id string, received_at timestamp, trace_id string, started_at timestamp"
+    minute = lambda n: NOW.replace(tzinfo=None) + timedelta(minutes=n)
+    # The earliest batch starts at 5, a later one at 2; its third span and all of b's have no start.
+    sent = [("p", "x", minute(1), "a", minute(9)), ("p", "x", minute(1), "a", minute(5)), ("p", "x", minute(1), "a", None),
+            ("p", "w", minute(3), "a", minute(2)), ("p", "x", minute(2), "b", None), (None, None, None, None, minute(4))]
+    windows = fold.window_events(spark.createDataFrame(sent, head))
+    assert windows.count() == 3
+    got = {r.id: r for r in fold.fold_traces(windows).collect()}
+    a = got["a"]
+    assert (a.started_at, a.observations_started_min, a.observations_started_max) == (minute(5), minute(2), minute(9))
+    assert (a.created_at, a.updated_at, a.batch_id, a.is_stub) == (minute(1), minute(3), "x", True)
+    assert (a.set_at.last.batch_id, a.set_at.first.batch_id, a.set_at.stub_start.ordinal) == ("w", "x", -1)
+    assert (got["b"].started_at, got["b"].observations_started_min) == (None, None)
+    assert got[None].started_at == minute(4)
