@@ -151,15 +151,15 @@ def observations_of(traces: DataFrame, observations: DataFrame) -> DataFrame:
     tells the optimiser that pruning pays.
     """
     lo, hi = F.col("observations_started_min"), F.col("observations_started_max")
-    windows = traces.filter(lo <= hi).select(
-        "project_id", F.col("id").alias("trace_id"), lo.alias("_lo"), hi.alias("_hi"),
-        F.explode(F.sequence(lo.cast("date"), hi.cast("date"))).alias("started_date"),
-    )
-    days = windows.select("started_date").distinct()
+    windows = traces.filter(lo <= hi).select("project_id", F.col("id").alias("trace_id"), lo.alias("_lo"), hi.alias("_hi"))
+    # Only the distinct days leave the tasks; a trace is not repeated for the days of its window.
+    each = F.explode(F.sequence(F.col("_lo").cast("date"), F.col("_hi").cast("date")))
+    days = windows.select(each.alias("started_date")).distinct()
     if session.within(days, MOST_DAYS):
         observations = observations.join(F.broadcast(days), "started_date", "left_semi")
     return (
-        observations.join(windows, ["project_id", "trace_id", "started_date"])
+        observations.join(windows, ["project_id", "trace_id"])
+        .filter(F.col("started_date").between(F.col("_lo").cast("date"), F.col("_hi").cast("date")))
         .filter(F.col("started_at").between(F.col("_lo"), F.col("_hi")))
         .drop("_lo", "_hi")
     )

@@ -157,3 +157,16 @@ def test_scores_of_either_target(spark):
 
 def test_detail_of_unknown_trace(spark):
     assert detail.trace_detail(make_traces(spark, []), make_spans(spark, []), make_scores(spark), "p", uid(1)) is None
+
+
+def test_traces_are_not_repeated_for_the_days_of_their_windows(spark):
+    traces = spark.sql("""SELECT 'p' project_id, id, lo observations_started_min, hi observations_started_max FROM VALUES
+        ('a', timestamp'2024-01-01 10:00:00', timestamp'2024-12-31 10:00:00'), ('a', timestamp'2024-02-01', timestamp'2024-02-02'),
+        ('b', timestamp'2024-03-01', NULL) t(id, lo, hi)""")
+    observations = spark.sql("""SELECT 'p' project_id, trace_id, s started_at, to_date(s) started_date FROM VALUES
+        ('a', timestamp'2024-01-01 09:59:59'), ('a', timestamp'2024-02-01 12:00:00'), ('a', timestamp'2024-12-31 10:00:00'),
+        ('b', timestamp'2024-03-01'), ('a', NULL) t(trace_id, s)""")
+    found = listing.observations_of(traces, observations)
+    # The days are exploded where they are made distinct, and nowhere else.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert sorted(r.started_at.month for r in found.collect()) == [2, 2, 12]
