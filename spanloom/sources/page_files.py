@@ -19,6 +19,8 @@ from spanloom.functions import cursors
 from spanloom.operators import listing
 
 ROWS_PER_FILE = 1_000_000
+# A task writes at least so many rows, file after file, once there is a range for every core.
+ROWS_PER_TASK = 250_000
 
 
 def _data(path: str) -> str:
@@ -35,9 +37,13 @@ def write(traces: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> N
     The start is part of the range key, so a tenant that holds most rows fills many files.
     """
     spark = traces.sparkSession
-    count = -(-traces.count() // rows_per_file) or 1
+    rows = traces.count()
+    files = -(-rows // rows_per_file) or 1
+    # Small files don't make as many tasks: one writes the files of its range in their order.
+    tasks = min(files, max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
     order = [F.col("project_id").asc_nulls_first(), *listing.newest_first()]
-    traces.repartitionByRange(count, *order).sortWithinPartitions(*order).write.parquet(_data(path))
+    placed = traces.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    placed.write.option("maxRecordsPerFile", rows_per_file).parquet(_data(path))
     held = spark.read.schema(traces.schema).parquet(_data(path)).groupBy("project_id", F.col("_metadata.file_name").alias("file")).agg(
         F.min("started_at").alias("first_start"), F.max("started_at").alias("last_start"), F.count("*").alias("rows")
     )

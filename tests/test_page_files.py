@@ -132,3 +132,14 @@ def test_repeated_and_missing_tags(spark, traces, tmp_path):
                                 "id string, project_id string, tags array<string>, started_at timestamp")
     tag_index.write(odd, str(tmp_path / "odd"))
     assert [r.id for r in tag_index.traces_with(spark, str(tmp_path / "odd"), ["p"], ["a", ""]).collect()] == ["x"]
+
+
+def test_small_files_do_not_make_as_many_tasks(spark, tmp_path):
+    traces = spark.range(3000).selectExpr(
+        "'p' || (id % 3) AS project_id", "cast(id AS string) AS id", "timestamp_seconds(id % 700) AS started_at"
+    )
+    path = str(tmp_path / "many")
+    page_files.write(traces, path, rows_per_file=20)
+    files = spark.read.parquet(f"{path}/files").groupBy("file").agg({"rows": "sum"}).collect()
+    assert len(files) >= 150 and max(r[1] for r in files) <= 20 and sum(r[1] for r in files) == 3000
+    assert len({r.file.split("-")[1] for r in files}) <= spark.sparkContext.defaultParallelism
