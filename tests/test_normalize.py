@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import NOW, Ingested, at, uid
 
@@ -170,3 +171,20 @@ def test_trace_start_comes_from_nested_observations(spark):
     run = Ingested(spark, {"traces": [{"observations": [{"startTime": at(hours=2)}, {"started_at": at(hours=1)}, {}]}]})
     assert run.traces[0].started_at == dt.datetime(2024, 5, 1, 13)
     assert run.observations[2].started_at == dt.datetime(2024, 5, 1, 13)
+
+
+def test_ids_in_canonical_form_take_one_pattern(spark):
+    from spanloom.functions import values
+
+    want = "0a000000-0000-4000-8000-00000000000f"
+    shapes = [want, want.upper(), want + "\n", "{" + want + "}", "urn:uuid:" + want, want.replace("-", ""), want + "0", " " + want]
+    rows = spark.createDataFrame([(s,) for s in shapes], "s string").select("s", F.expr("parse_json(to_json(named_struct('v', s)))").alias("d"))
+    v = values.member(F.col("d"), "v")
+    got = {r.s: r.id for r in rows.select("s", values.uuid(v, values.kind(v)).alias("id")).collect()}
+    assert [got[s] for s in shapes] == [want] * 6 + [None] * 2
+
+
+def test_methods_beyond_what_the_machine_compiles_are_split(spark):
+    from spanloom import session
+
+    assert session.prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
