@@ -6,11 +6,12 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom import session
 from spanloom.operators import listing
 from spanloom.sources import batches as raw_batches
 from spanloom.sources import tables
 from spanloom.streaming import ingest
-from tests.helpers import NOW, at, uid
+from tests.helpers import NOW, at, batches, uid
 
 
 @pytest.fixture()
@@ -111,3 +112,39 @@ def test_an_epoch_written_again_leaves_nothing_behind(spark, tmp_path):
     tables.append_rows(two, str(tmp_path / "rows"), 0)
     tables.append_rows(two.filter("id = '1'"), str(tmp_path / "rows"), 0)
     assert [r.id for r in spark.read.parquet(str(tmp_path / "rows")).collect()] == ["1"]
+
+
+def test_members_of_an_epoch_lie_in_files_that_go(spark, tmp_path, dims, monkeypatch):
+    """Nothing is kept in executors' memory while an epoch is written, and no scratch files stay."""
+    _, prices = dims
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{session.shared_folder(spark)}/spanloom-members-*")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen, write = [], tables.append_scores
+    kept = lambda: (spark.sparkContext._jsc.getPersistentRDDs().size(), len(fs.globStatus(root) or []))
+    before = kept()
+
+    def noted(*args):
+        seen.append(kept())
+        write(*args)
+
+    monkeypatch.setattr(tables, "append_scores", noted)
+    df = batches(spark, {"traces": [{"id": uid(1), "observations": [{"id": uid(2), "started_at": at()}]}], "scores": [{"id": uid(3), "trace_id": uid(1), "name": "s", "value": 1}]})
+    layout = ingest.Layout.under(str(tmp_path / "store"))
+    ingest.write_epoch(df, 0, layout, prices)
+    assert seen == [(before[0], before[1] + 1)] and kept() == before
+    assert spark.read.parquet(layout.observations).count() == spark.read.parquet(layout.scores).count() == 1
+
+
+def test_many_stored_keys_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """An epoch beyond the bound is compared with what is stored by sorting, whatever the files' sizes."""
+    path = str(tmp_path / "obs")
+    sent = spark.range(60).selectExpr(
+        "'p' AS project_id", "'i' || id AS id", "timestamp'2024-05-01' AS started_at", "timestamp'2024-05-01' AS received_at", "'b' AS batch_id", "id AS ordinal"
+    )
+    tables.append_observations(sent.filter("ordinal < 40"), path, 0)
+    monkeypatch.setattr(session, "BROADCAST_ROW_BOUND", 5)
+    later = sent.filter("ordinal >= 20").withColumn("started_date", F.to_date("started_at"))
+    fresh = tables._without_stored(later, path, 1, "started_date", ["project_id", "id", "started_at"], True, tables.MAIN)
+    assert sorted(r.ordinal for r in fresh.collect()) == list(range(40, 60))
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") >= 2
