@@ -165,3 +165,35 @@ def test_windows_of_a_trace_are_one_fold_input(spark):
     assert (a.set_at.last.batch_id, a.set_at.first.batch_id, a.set_at.stub_start.ordinal) == ("w", "x", -1)
     assert (got["b"].started_at, got["b"].observations_started_min) == (None, None)
     assert got[None].started_at == minute(4)
+
+
+def test_states_merge_as_their_events_do_and_without_another_shuffle(spark):
+    """Values, arrivals and metadata of two and of three states; a trace without a project, one in a single state."""
+    bodies = [
+        {"traces": [{"id": uid(1), "name": "n", "tags": ["a"], "started_at": at(), "metadata": {"a": 1, "b": {"x": 1}}}]},
+        {"observations": [{"id": uid(10), "trace_id": uid(1), "started_at": at(hours=-1)}, {"id": uid(11), "trace_id": uid(2), "started_at": at()}]},
+        {"traces": [{"id": uid(1), "user_id": "u", "started_at": at(minutes=2), "metadata": {"b": None, "c": "z"}}]},
+        {"observations": [{"id": uid(12), "trace_id": uid(2), "started_at": at(hours=-2)}]},
+        {"traces": [{"id": uid(1), "started_at": at(minutes=4), "metadata": {"a": 2}}, {"id": uid(3), "started_at": at(), "metadata": {"q": 1}}]},
+    ]
+    run = Ingested(spark, *bodies)
+    sent = run.trace_df, run.observation_df.drop("admitted")
+    sent = [df.withColumn("project_id", F.when(F.col("batch_id") != "b003", F.col("project_id"))) for df in sent]
+
+    def state(*batches):
+        return fold.state_events(fold.fold_traces(fold.fold_inputs(*[df.filter(F.col("batch_id").isin(*batches)) for df in sent])))
+
+    whole = _rows(fold.fold_traces(fold.fold_inputs(*sent)))
+    assert len(whole) == 4
+    # The later state first, and states that overlap in time.
+    assert _rows(fold.merge_states(state("b002", "b003", "b004"), state("b000", "b001"))) == whole
+    three = [state("b001", "b004"), state("b000", "b003"), state("b002")]
+    assert _rows(fold.merge_states(*three)) == whole
+    two = fold.merge_states(*three[:2])
+    assert _rows(fold.merge_states(fold.state_events(two), three[2])) == whole
+
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    assert shuffles(two) == sum(shuffles(s) for s in three[:2])
+    assert shuffles(fold.merge_states(two, three[2])) == sum(shuffles(s) for s in three)

@@ -1,5 +1,7 @@
 """Shapes of the physical plans that matter at scale."""
 
+from datetime import timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,30 @@ def test_narrowing_beyond_the_bound_changes_nothing(stored, monkeypatch):
     monkeypatch.undo()
     again = detail.score_targets(stored["scores"], stored["observations"])
     assert targets.select("id", "target").exceptAll(again.select("id", "target")).count() == 0
+
+
+def test_both_sends_of_a_delivery_come_from_one_scan(spark, sf_tables):
+    """A trace's open and close, and an observation's repeat, lie in one task; repeats and nulls stay."""
+    fx = sf_tables
+    for df, table in ((fx.trace_deliveries(), "orders"), (fx.observation_deliveries(), "lineitem")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Union" not in plan and plan.count("Scan parquet") == 1
+        assert df.count() == 2 * fx.table(table).count()
+    sent = {(r.batch_id[0], r.id[-1]): r for r in fx.trace_deliveries().collect()}
+    opened, closed = sent["o", "1"], sent["c", "1"]
+    assert (opened.name, opened.user_id, opened.session_id, opened.tags, opened.environment, opened.sdk_version) == ("1-URGENT", "u7", None, [], "staging", "1.0")
+    assert (closed.name, closed.session_id, closed.tags, closed.environment, closed.release) == (None, "s7", ["1", "F"], None, "r1996")
+    assert (closed.started_at - opened.started_at, closed.received_at - opened.received_at) == (timedelta(hours=2), timedelta(hours=1))
+    assert sent["c", "2"].received_at < sent["o", "2"].received_at and sent["o", "3"].started_at is None
+    lines = sorted((r.batch_id, r.latency_ms) for r in fx.observation_deliveries().collect() if r.id and r.id[-1] == "1")
+    assert lines == [("b1", 5), ("b1", 5), ("rb1", 6), ("rb1", 6)]
+
+
+@pytest.fixture
+def sf_tables(spark, tmp_path):
+    spark.sql("""SELECT * FROM VALUES (1L, 7L, 'F', timestamp'1996-01-02', '1-URGENT'), (2L, 8L, 'P', timestamp'1996-01-03', '2-HIGH'),
+        (3L, NULL, NULL, NULL, NULL) t(o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority)""").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    line = "1L, 5L, 1L, 1, 2.0D, 3.0D, 0.1D, 0.0D, 'A', 'F', timestamp'1996-01-04'"
+    spark.sql(f"""SELECT * FROM VALUES ({line}), ({line}), (2L, 5L, 1L, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)
+        t(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)""").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return Fixtures(spark, str(tmp_path))
